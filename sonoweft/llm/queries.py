@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, simhash, tokenfile, toxicity
+from . import lm, packing, sharding, simhash, tokenfile, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -46,6 +46,11 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(spark, docs, vocabulary("byte_bpe_50k.json"))
 
 
+def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return lm.score(docs, toxicity.remainder("doc_id", 10) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_two_fit_packing": op2_best_two_fit_packing,
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_covering_simhash": op6_covering_simhash,
         "op7_vector_sharding": op7_vector_sharding,
         "op9_token_files": op9_token_files,
+        "op10_backoff_automaton": op10_backoff_automaton,
     }
 
 
