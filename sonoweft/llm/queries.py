@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lm, packing, sharding, simhash, tokenfile, toxicity
+from . import chat, lm, packing, sharding, simhash, tokenfile, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +22,41 @@ def op2_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+#: What every formatting of ``conversations`` also covers: a text full of control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op3_schema_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    control = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
+    records = chat.canonical(chat.records_of(rows.unionByName(control)))
+    return chat.digests(chat.formatted(records))
+
+
+OP3_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>'), ':', '\:'))
+    + length(replace(replace(replace(text, '\', '\\'), '#', '\#'), '</turn>', '<\/turn>')) + 14 AS chars FROM rows
+), grouped AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+    coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(chars)::BIGINT AS formatted_chars,
+    string_agg(role, ' ' ORDER BY turn, role, text) AS roles
+  FROM sized GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
+  CASE WHEN roles = 'user assistant' THEN 'prompt' WHEN roles = 'system user assistant' THEN 'instruction'
+    WHEN coalesce(((conv_id % 3) + 3) % 3, 0) = 0 THEN 'messages' WHEN ((conv_id % 3) + 3) % 3 = 1 THEN 'conversations' ELSE 'dialog' END AS layout
+FROM grouped
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -54,6 +89,7 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_two_fit_packing": op2_best_two_fit_packing,
+        "op3_schema_chats": op3_schema_chats,
         "op5_toxicity": op5_toxicity,
         "op6_covering_simhash": op6_covering_simhash,
         "op7_vector_sharding": op7_vector_sharding,
@@ -63,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_schema_chats": OP3_SQL}
