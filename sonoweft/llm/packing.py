@@ -146,7 +146,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     sqrt(2 * capacity) different lengths.
     """
     spark = pieces.sparkSession
-    ranked = shared.ranked(pieces, ["length"], ["doc_id", "start", "ids_crc32"], "pieces", "_rank")
+    # dealing by ranges reads its input twice, so the token ids are made before
+    ranked = shared.ranked(shared.materialize(pieces, "pieces"), ["length"], ["doc_id", "start", "ids_crc32"], "ranked-pieces", "_rank")
     counts = {r["length"]: r["count"] for r in ranked.groupBy("length").count().collect()}
     table = np.array(places(pack_counts(counts, capacity)) or np.zeros((0, 6)), np.int64)
     table = table[np.lexsort((table[:, 1], table[:, 0]))]

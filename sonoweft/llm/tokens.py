@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 #: The units that a worker keeps; beyond it the cache starts anew.
-CACHED_UNITS = 400_000
+CACHED_UNITS = 1_000_000
 
 #: Before a space or line feed that stands alone between two other characters, and after such a line feed.
 _BYTE_LEVEL_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
@@ -22,9 +23,16 @@ def _units_by_space(text: str) -> list[str]:
     return [u for u in text.replace("\n", " ").split(" ") if u]
 
 
+def _units_with_space(text: str) -> list[str]:
+    spaces, lines = text.count(" "), text.count("\n")
+    if len(text.split()) == 1 + spaces + lines and "\0" not in text:  # white space stands alone everywhere
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+    return _BYTE_LEVEL_CUT.split(text)
+
+
 #: How a text may be cut, by the kind of pre-tokenizer: byte-level BPE keeps a
 #: space with the word after it; the word BPE drops white space.
-CUTS: dict[str, Callable[[str], list[str]]] = {"byte": _BYTE_LEVEL_CUT.split, "word": _units_by_space}
+CUTS: dict[str, Callable[[str], list[str]]] = {"byte": _units_with_space, "word": _units_by_space}
 
 _open: dict[str, "UnitEncoder"] = {}
 
@@ -42,17 +50,22 @@ class UnitEncoder:
         self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        import numpy as np
-
         cut = [self.cut(t) if t else [] for t in texts]
         if len(self.cache) > CACHED_UNITS:
             self.cache.clear()
         cache = self.cache
-        new = list({u for units in cut for u in units if u not in cache})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        new = set().union(*cut).difference(cache)
+        # after a letter, a mark starts a token of its own: only the word before it is new, if at all
+        marked = [u for u in new if u[-1] in ".,;:" and u[-2:-1].isalpha()]
+        new.difference_update(marked)
+        new.update(x for u in marked for x in (u[:-1], u[-1]) if x not in cache)
+        todo = list(new)
+        for i in range(0, len(todo), 4096):
+            part = todo[i : i + 4096]
             for unit, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[unit] = np.array(e.ids, "<u4").tobytes()
+                cache[unit] = array("I", e.ids).tobytes()
+        for u in marked:
+            cache[u] = cache[u[:-1]] + cache[u[-1]]
         get = cache.__getitem__
         return [b"".join(map(get, units)) for units in cut]
 
