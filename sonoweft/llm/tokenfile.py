@@ -177,7 +177,8 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
             for path, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 yield from _digests(path, base, None, folder)
 
-    return based(manifest).select("path", "base").repartition("path").mapInArrow(task, READ)
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return based(manifest).select("path", "base").repartition(tasks, "path").mapInArrow(task, READ)
 
 
 def read_documents(manifest: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
