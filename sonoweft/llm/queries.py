@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, lm, packing, sharding, simhash, tokenfile, toxicity
+from . import chat, decontam, lm, packing, shared, sharding, simhash, tokenfile, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -16,6 +16,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_salvage_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    folder = shared.new_path(spark, "warc")
+    files = warc.write(warc.page_records(pages), folder)
+    back = warc.records(warc.read(spark, warc.written(files, folder), payloads=False))
+    return back.select(
+        warc.page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id(F.col("refers_to")).alias("refers_to")
+    )
+
+
 def op2_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     pieces = packing.cut(docs, vocabulary("word_bpe_49k.json"), with_ids=False).drop("ids")
@@ -76,6 +86,11 @@ def op7_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return decontam.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return tokenfile.round_trip(spark, docs, vocabulary("byte_bpe_50k.json"))
@@ -88,11 +103,13 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_salvage_warc": op1_salvage_warc,
         "op2_best_two_fit_packing": op2_best_two_fit_packing,
         "op3_schema_chats": op3_schema_chats,
         "op5_toxicity": op5_toxicity,
         "op6_covering_simhash": op6_covering_simhash,
         "op7_vector_sharding": op7_vector_sharding,
+        "op8_qgram_decontamination": op8_qgram_decontamination,
         "op9_token_files": op9_token_files,
         "op10_backoff_automaton": op10_backoff_automaton,
     }
