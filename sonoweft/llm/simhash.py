@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shared import materialize
@@ -54,29 +55,40 @@ def shingle_digests(text: str | None, width: int, seed: int) -> bytes:
     return b"".join([digest(line[a:b], seed) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)])
 
 
-def _fingerprints(texts: list[str | None], width: int, seed: int) -> np.ndarray:
+def _majority(digests: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    ones = np.empty((len(sizes), BITS), np.int64)
+    for k in range(8):  # byte 0 has the lowest bits
+        held = np.bincount(place + digests[:, k], minlength=len(sizes) << 8).reshape(-1, 256)
+        ones[:, 8 * k : 8 * k + 8] = held @ _BITS_OF_BYTE
+    return np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view("<i8").reshape(-1)
+
+
+def _fingerprints(texts: list[str | None], width: int, seed: int, replicas: int = 1) -> np.ndarray:
+    """A row of fingerprints for each text; all but the first are of remixed hashes."""
     digests = [shingle_digests(t, width, seed) for t in texts]
     sizes = np.array([len(d) // 8 for d in digests], np.int64)
     place = np.repeat(np.arange(len(texts)) << 8, sizes)
-    every = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
-    ones = np.empty((len(texts), BITS), np.int64)
-    for k in range(8):  # the last byte has the lowest bits
-        held = np.bincount(place + every[:, 7 - k], minlength=len(texts) << 8).reshape(-1, 256)
-        ones[:, 8 * k : 8 * k + 8] = held @ _BITS_OF_BYTE
-    packed = np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little")
-    return packed.view("<i8").reshape(-1)
+    hashes = np.frombuffer(b"".join(digests), ">u8").astype("<u8")
+    out = np.empty((len(texts), replicas), np.int64)
+    for k in range(replicas):
+        out[:, k] = _majority(hashes.view(np.uint8).reshape(-1, 8), place, sizes)
+        hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        hashes ^= hashes >> np.uint64(29)
+    return out
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and the 64-bit fingerprint ``fp`` (signed long) of each whole text."""
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, replicas: int = 1) -> DataFrame:
+    """doc_id, the 64-bit fingerprint ``fp`` (signed long) of each whole text, its ``others``, and ``text_hash``."""
+    others = pa.list_(pa.int64())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for chunk in chunks(rows, 1):
-            fp = _fingerprints([t for _, t in chunk], width, seed)
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in chunk], pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            fp = _fingerprints([r[1] for r in chunk], width, seed, replicas)
+            columns = [pa.array([r[0] for r in chunk], pa.int64()), pa.array(fp[:, 0], pa.int64()), pa.array(list(fp[:, 1:]), others), pa.array([r[2] for r in chunk], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "others", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(task, "doc_id long, fp long, others array<long>, text_hash long")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -100,24 +112,59 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
         raise ValueError("the radius must be 2 or 4 (an even number, so that the values between are exact)")
     tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(covering_masks(radius))])
     keys = distinct.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
-    shared_keys = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    candidates = keys.join(shared_keys, ["t", "key"], "left_semi").select("fp").distinct()
+    met = keys.groupBy("t", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    met = materialize(met, "simhash-keys")
+    pairs = met.where(f"n = 2 AND bit_count(a ^ b) <= {radius}").select(F.col("b").alias("fp"), F.col("a").alias("least"))
+    candidates = keys.join(met.where("n > 2").select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
     near = materialize(candidates, "simhash-candidates").select("fp", F.explode(_around(F.col("fp"), radius // 2)).alias("value"))
-    met = near.groupBy("value").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return near.join(met, "value").where("fp > least").select("fp", "least")
-
-
-def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links) for every row."""
-    rows = materialize(fingerprints(docs, width, seed), "simhash-rows")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    parts = connected_components(links(distinct, radius), "simhash-links")
+    shared = near.groupBy("value").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return pairs.union(near.join(shared, "value").where("fp > least").select("fp", "least"))
+
+
+def _own(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """Links between the fingerprints of one text, as far as another text is linked to them."""
+    own = rows.select("fp", F.explode("others").alias("other")).distinct()
+    many = own.groupBy("other").agg(F.count("*").alias("n")).where("n > 1").select("other")
+    linked = near.select(F.explode(F.array("fp", "least")).alias("other")).union(many).distinct()
+    return own.join(linked, "other", "left_semi")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42, replicas: int = 1) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable over links), root and text_hash for every row.
+
+    With replicas, texts are also linked if a further fingerprint, of remixed
+    shingle hashes, is within the radius.
+    """
+    rows = materialize(fingerprints(docs, width, seed, replicas), "simhash-rows")
+    values = rows.select("doc_id", F.explode(F.concat(F.array("fp"), "others")).alias("fp")) if replicas > 1 else rows
+    distinct = materialize(values.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    near = links(distinct, radius)
+    if replicas > 1:
+        near = materialize(near, "simhash-near")
+        near = near.union(_own(rows, near))
+    parts = connected_components(near, "simhash-links")
     parts = materialize(parts.join(distinct, parts.node == distinct.fp).select("fp", "root", "first"), "simhash-parts")
     least = parts.groupBy("root").agg(F.min("first").alias("least"))
-    named = parts.join(least, "root").select(F.col("fp").alias("_fp"), "least")
-    classes = distinct.join(named, distinct.fp == named._fp, "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    named = parts.join(least, "root").select(F.col("fp").alias("_fp"), "root", "least")
+    classes = distinct.join(named, distinct.fp == named._fp, "left")
+    classes = classes.select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     classes = materialize(classes, "simhash-classes")
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(classes, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One row of each component, that with the least doc_id, with all its columns.
+
+    Of rows with that doc_id and different texts the one with the least text hash
+    stays. Rows without a doc_id can't be named as a component's row and stay.
+    """
+    rows = near_duplicates(docs, **options).where("doc_id = component_id")
+    stay = rows.groupBy("doc_id", "root").agg(F.min("text_hash").alias("_hash")).select("doc_id", "_hash")
+    stay = materialize(stay.distinct(), "simhash-stay")
+    hashed = docs.where("doc_id IS NOT NULL").withColumn("_hash", F.xxhash64("text"))
+    same = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")
+    once = hashed.join(stay, ["doc_id", "_hash"], "left_semi").withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
+    return once.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def hexadecimal(fp: Column) -> Column:
