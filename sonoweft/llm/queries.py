@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lm, packing, shared, sharding, simhash, tokenfile, toxicity, warc
+from . import chat, decontam, lm, media, packing, shared, sharding, simhash, tokenfile, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -67,6 +67,13 @@ FROM grouped
 """
 
 
+def op4_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = shared.materialize(media.rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "images")
+    queries = media.edited(images.where("image_id % 100 = 0"))
+    found = media.copies(images, queries)
+    return found.select(F.col("image_id").alias("vec_id"), "class_id", F.col("queries.query_id").alias("query_ids"), F.col("queries.inliers").alias("inliers"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -106,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_salvage_warc": op1_salvage_warc,
         "op2_best_two_fit_packing": op2_best_two_fit_packing,
         "op3_schema_chats": op3_schema_chats,
+        "op4_local_descriptors": op4_local_descriptors,
         "op5_toxicity": op5_toxicity,
         "op6_covering_simhash": op6_covering_simhash,
         "op7_vector_sharding": op7_vector_sharding,
