@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus
+from . import alignment, corpus, signal
 
-MODULES = (corpus,)
+MODULES = (corpus, signal, alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

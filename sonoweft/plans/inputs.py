@@ -26,7 +26,7 @@ FRAMES_SQL = """frames AS (
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as intervals in whole milliseconds of a day: they begin at the time of day and last 500 times the value."""
     e = table(spark, sf_dir, "events")
-    begin = (F.unix_millis("ts") - F.unix_millis(F.date_trunc("day", "ts"))).cast("long")
+    begin = F.expr("cast((hour(ts) * 60 + minute(ts)) * 60000 + floor(extract(SECOND FROM ts) * 1000) AS long)")
     return e.select(
         F.concat_ws("-", F.col("user_id"), F.date_format("ts", "yyyy-MM-dd")).alias("utt"), "event_id", begin.alias("xmin"),
         (begin + F.floor(F.col("value") * 500) + 1).cast("long").alias("xmax"), F.col("event_type").alias("label"),
@@ -34,8 +34,8 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPANS_SQL = """spans AS (
-  SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS utt, event_id, epoch_ms(ts) - epoch_ms(date_trunc('day', ts)::TIMESTAMP) AS xmin,
-    epoch_ms(ts) - epoch_ms(date_trunc('day', ts)::TIMESTAMP) + floor(value * 500)::BIGINT + 1 AS xmax, event_type AS label FROM events
+  SELECT user_id || '-' || strftime(ts, '%Y-%m-%d') AS utt, event_id, (epoch_us(ts) - epoch_us(date_trunc('day', ts)::TIMESTAMP)) // 1000 AS xmin,
+    (epoch_us(ts) - epoch_us(date_trunc('day', ts)::TIMESTAMP)) // 1000 + floor(value * 500)::BIGINT + 1 AS xmax, event_type AS label FROM events
 )"""
 
 
