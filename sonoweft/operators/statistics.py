@@ -89,8 +89,7 @@ def normalised_probabilities(counts: DataFrame, group: str, count: str, floor: f
     out = counts.withColumn("_total", F.sum(count).over(w)).withColumn("_kinds", F.count("*").over(w))
     out = out.withColumn("p", F.when((F.col("_total") >= least) & (F.col("_kinds") > 1), F.col(count) / F.col("_total")))
     for _ in range(rounds):
-        out = out.withColumn("p", F.greatest(F.col("p") / F.sum("p").over(w), F.lit(floor)))
-        out = out.withColumn("p", F.when(F.col("_kinds") > 1, F.col("p")))
+        out = out.withColumn("p", F.when(F.col("p").isNotNull(), F.greatest(F.col("p") / F.sum("p").over(w), F.lit(floor))))
     return out.drop("_total", "_kinds")
 
 

@@ -58,11 +58,12 @@ SELECT utt, round(lo, 6) AS xmin, round(CASE WHEN r = 1 AND 86000.0e0 - hi < 0.0
 
 def word_phone_midpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
-    out = intervals.inside_by_midpoint(s.where("label = 'click'"), s.where("label = 'view'"), "utt", WIDTH)
+    words = s.where("label = 'view'").withColumn("xmax", F.col("xmin") + 14_400_000)
+    out = intervals.inside_by_midpoint(s.where("label = 'click'"), words, "utt", 60 * WIDTH)
     return out.select(F.col("p.event_id").alias("phone"), F.col("w.event_id").alias("word"))
 
 
-WORD_PHONE_MIDPOINT = f"""WITH {SPANS_SQL} SELECT p.event_id AS phone, w.event_id AS word FROM spans p JOIN spans w ON p.utt = w.utt AND (p.xmin + p.xmax) / 2 >= w.xmin AND (p.xmin + p.xmax) / 2 < w.xmax
+WORD_PHONE_MIDPOINT = f"""WITH {SPANS_SQL} SELECT p.event_id AS phone, w.event_id AS word FROM spans p JOIN spans w ON p.utt = w.utt AND (p.xmin + p.xmax) / 2 >= w.xmin AND (p.xmin + p.xmax) / 2 < w.xmin + 14400000
 WHERE p.label = 'click' AND w.label = 'view'"""
 
 
