@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, corpus, signal
+from . import alignment, corpus, signal, training
 
-MODULES = (corpus, signal, alignment)
+MODULES = (corpus, signal, alignment, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
