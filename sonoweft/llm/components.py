@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 
+def _spread(least: DataFrame) -> DataFrame:
+    """Deals the minima anew, so that the join that follows shuffles both sides and can split a node with many links."""
+    return least.repartition(F.xxhash64("u"))
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    least = _spread(both.groupBy("u").agg(F.min("v").alias("m")))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = _spread(links.groupBy("u").agg(F.min("v").alias("m")))
     moved = links.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 

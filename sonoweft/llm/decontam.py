@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import chunks
+from .tokens import chunks, rows_of
 
 HITS = "doc_id long, item_id long, start long, end long, edits int"
 _PLANE = 1 << 16
@@ -199,7 +199,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, s
 
         def task(batches: Iterator[pa.RecordBatch], send=send) -> Iterator[pa.RecordBatch]:
             passages = _passages(send.value, (q, rate, shortest))
-            rows = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            rows = rows_of(batches)
             for chunk in chunks(rows, 1, 1 << 19):
                 found = _hits([t for _, t in chunk], passages)
                 if found:
@@ -221,7 +221,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1,
         def task(batches: Iterator[pa.RecordBatch], send=send) -> Iterator[pa.RecordBatch]:
             passages = _passages(send.value, (q, rate, shortest))
             for b in batches:
-                rows = enumerate(b.column(at).to_pylist())
+                rows = ((i, t) for i, (t,) in enumerate(rows_of([b.select([at])])))
                 bad = {chunk[i][0] for chunk in chunks(rows, 1, 1 << 19) for i, *_ in _hits([t for _, t in chunk], passages)}
                 yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_()))
 

@@ -41,7 +41,7 @@ def cut(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 0, ca
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, step = tokens.encoder(tokenizer, kind), struct.pack("<I", end_id), 4 * capacity
-        rows = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = tokens.rows_of(batches)
         for chunk in tokens.chunks(rows, 1):
             out: list[tuple] = []
             for (doc_id, _), ids in zip(chunk, encoder.encode([t for _, t in chunk]), strict=True):

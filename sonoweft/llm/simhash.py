@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 
 from .components import connected_components
 from .shared import materialize
-from .tokens import chunks
+from .tokens import chunks, rows_of
 
 BITS = 64
 
@@ -82,8 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, replicas: int
     others = pa.list_(pa.int64())
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for chunk in chunks(rows, 1):
+        for chunk in chunks(rows_of(batches), 1):
             fp = _fingerprints([r[1] for r in chunk], width, seed, replicas)
             columns = [pa.array([r[0] for r in chunk], pa.int64()), pa.array(fp[:, 0], pa.int64()), pa.array(list(fp[:, 1:]), others), pa.array([r[2] for r in chunk], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "others", "text_hash"])

@@ -126,7 +126,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, path = TaskContext.get().partitionId(), None, ""
         encoder, end = tokens.encoder(tokenizer, kind), struct.pack("<I", end_id)
-        rows = ((d, t) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = tokens.rows_of(batches)
         for chunk in tokens.chunks(rows, 1):
             if writer is None:
                 files, top = pafs.FileSystem.from_uri(folder)

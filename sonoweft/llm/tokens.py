@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 #: The units that a worker keeps; beyond it the cache starts anew.
-CACHED_UNITS = 1_000_000
+CACHED_UNITS = 700_000
 
 #: Before a space or line feed that stands alone between two other characters, and after such a line feed.
 _BYTE_LEVEL_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
@@ -77,6 +77,13 @@ def encoder(path: str, kind: str) -> UnitEncoder:
     return _open[key]
 
 
+def rows_of(batches: Iterable, step: int = 512) -> Iterator[tuple]:
+    """The rows of Arrow batches as tuples, a few at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, step):
+            yield from zip(*(c.slice(i, step).to_pylist() for c in b.columns), strict=True)
+
+
 def chunks(rows: Iterable[tuple], text_at: int, size: int = 1 << 20) -> Iterator[list[tuple]]:
     """Rows in lists of about ``size`` characters of text; a longer text stands alone."""
     held, n = [], 0

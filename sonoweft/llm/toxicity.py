@@ -25,7 +25,7 @@ Extra columns are kept.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import chunks
+from .tokens import chunks, rows_of
 
 WINDOW, STRIDE = 48, 32
 BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 16, 4, 6, 8, 8
-CACHED_WORDS = 200_000
+CACHED_WORDS = 120_000
 GRAMS = (3, 4, 5)
 _SPACE = bytes(c if chr(c).isalnum() or c > 127 or chr(c) in "@*$" else 32 for c in range(256))
 
@@ -94,8 +94,13 @@ class Network:
     shift: float = 0.0
 
     def inputs(self, words: list[bytes]) -> np.ndarray:
-        grams, starts = gram_buckets(words)
-        return np.concatenate([self.w["word"][word_buckets(words)], np.maximum.reduceat(self.w["char"][grams], starts, axis=0)], 1)
+        out = np.empty((len(words), WORD_DIM + CHAR_DIM), np.float32)
+        for i in range(0, len(words), 1 << 13):
+            part = words[i : i + (1 << 13)]
+            grams, starts = gram_buckets(part)
+            out[i : i + len(part), :WORD_DIM] = self.w["word"][word_buckets(part)]
+            out[i : i + len(part), WORD_DIM:] = np.maximum.reduceat(self.w["char"][grams], starts, axis=0)
+        return out
 
     def layer(self, side: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States (time, window, hidden) over projected inputs (time, window, 3 * hidden), in reading order."""
@@ -179,14 +184,14 @@ class Scorer:
         return self.net.scale * np.maximum.reduceat(self.window_logits(ids), first) + self.net.shift
 
 
-def _log_odds(hit: np.ndarray, buckets: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+def _log_odds(buckets: Iterable[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Of each bucket: how much more often toxic texts have it, 0 where few texts do."""
     count = np.zeros((2, BUCKETS))
     for b, y in zip(buckets, label, strict=True):
         count[int(y)][b] += 1
     n = np.bincount(label, minlength=2)
     odds = np.log((count[1] + 2) / (n[1] + 4)) - np.log((count[0] + 2) / (n[0] + 4))
-    return np.where(count.sum(0) >= 3, np.clip(odds, -4, 4), 0).astype(np.float32) * hit
+    return np.where(count.sum(0) >= 3, np.clip(odds, -4, 4), 0).astype(np.float32)
 
 
 def _backward(net: Network, x: np.ndarray, ids: np.ndarray, label: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -243,19 +248,22 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 3, steps: in
     if len(set(labels)) < 2:
         net.scale = 0.0
         return net
-    cut = [words_of(t) for t in texts]
-    kinds = [list(set(t)) for t in cut]
-    w["word"][:, 0] += _log_odds(1, [np.unique(word_buckets(t)) for t in kinds], label)
-    w["char"][:, 0] += _log_odds(1, [np.unique(gram_buckets(t)[0]) if t else np.zeros(0, int) for t in kinds], label)
+    ids_of: dict[bytes, int] = {}
+    cut = [np.fromiter((ids_of.setdefault(w, len(ids_of)) for w in words_of(t)), np.int32) for t in texts]
+    vocabulary = list(ids_of)
+    del ids_of
+    kinds = lambda: ([vocabulary[i] for i in np.unique(t)] for t in cut)
+    w["word"][:, 0] += _log_odds((np.unique(word_buckets(t)) for t in kinds()), label)
+    w["char"][:, 0] += _log_odds((np.unique(gram_buckets(t)[0]) if t else np.zeros(0, int) for t in kinds()), label)
     scorer = Scorer(net)
-    vocabulary = sorted({w for t in kinds for w in t})
-    ids_of = dict(zip(vocabulary, range(len(vocabulary)), strict=True))
-    flat = np.append(np.fromiter((ids_of[w] for t in cut for w in t), np.int64), -1)
     n = np.array([len(t) for t in cut])
+    flat = np.append(np.concatenate(cut), np.int32(-1))
+    del cut
     start, text = windows_of(n)
-    at = start[:, None] + np.arange(WINDOW)
-    windows = np.where(at < n[text, None], flat[np.minimum(at + (np.cumsum(n) - n)[text, None], len(flat) - 1)], -1)
-    first = np.searchsorted(text, np.arange(len(cut)))
+    at = (start[:, None] + np.arange(WINDOW)).astype(np.int32)
+    windows = np.where(at < n[text, None], flat[np.minimum(at + (np.cumsum(n) - n)[text, None].astype(np.int32), len(flat) - 1)], -1).astype(np.int32)
+    del at
+    first = np.searchsorted(text, np.arange(len(n)))
     x = net.inputs(vocabulary)
     score = np.append(x[:, 0] + 2 * x[:, WORD_DIM], -9).astype(np.float32)[windows].max(1)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in w.items() if k not in ("word", "char")}
@@ -350,8 +358,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             _scorers[id(send.value)] = Scorer(send.value)
         scorer = _scorers[id(send.value)]
         for b in batches:
-            texts = ((t,) for t in b.column(at).to_pylist())
-            made = [1 / (1 + np.exp(-scorer.texts([t for (t,) in chunk]).astype(np.float64))) for chunk in chunks(texts, 0, 1 << 19)]
+            made = [1 / (1 + np.exp(-scorer.texts([t for (t,) in chunk]).astype(np.float64))) for chunk in chunks(rows_of([b.select([at])]), 0, 1 << 19)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*made, np.zeros(0)]), pa.float64())], names=[*b.schema.names, "_score"])
 
     schema = docs.select("*").schema
