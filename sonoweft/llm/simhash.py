@@ -7,8 +7,10 @@ key keeps the positions with an odd <v, m(i)>. At most r differing positions
 span at most r dimensions, so some v is orthogonal to all of them and the key
 of that table is equal: no pair within the radius is missed.
 
-Fingerprints that share a key with another are candidates. Two of them differ
-in at most r bits just if some value is within r / 2 bits of both; so each
+Two fingerprints that share a key are compared. Of more, each is compared with
+the least of them; if all are within the radius of it, they are connected. Of
+keys where some are not, all fingerprints are candidates: two of them differ in
+at most r bits just if some value is within r / 2 bits of both; so each
 candidate is joined to the values around it, and those that meet at a value
 are linked to the smallest of them. The work is linear in the candidates,
 however many share a key, and no pair needs to be listed.
@@ -114,10 +116,15 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     met = keys.groupBy("t", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
     met = materialize(met, "simhash-keys")
     pairs = met.where(f"n = 2 AND bit_count(a ^ b) <= {radius}").select(F.col("b").alias("fp"), F.col("a").alias("least"))
-    candidates = keys.join(met.where("n > 2").select("t", "key"), ["t", "key"], "left_semi").select("fp").distinct()
+    # of larger ones, those whose members are all near the least are connected by that; the others are open
+    members = keys.join(met.where("n > 2").select("t", "key", "a"), ["t", "key"]).withColumn("near", F.expr(f"bit_count(fp ^ a) <= {radius}"))
+    members = materialize(members, "simhash-members")
+    to_least = members.where("near AND fp > a").select("fp", F.col("a").alias("least")).distinct()
+    still_open = members.where("NOT near").select("t", "key").distinct()
+    candidates = members.join(still_open, ["t", "key"], "left_semi").select("fp").distinct()
     near = materialize(candidates, "simhash-candidates").select("fp", F.explode(_around(F.col("fp"), radius // 2)).alias("value"))
     shared = near.groupBy("value").agg(F.min("fp").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return pairs.union(near.join(shared, "value").where("fp > least").select("fp", "least"))
+    return pairs.union(to_least).union(near.join(shared, "value").where("fp > least").select("fp", "least"))
 
 
 def _own(rows: DataFrame, near: DataFrame) -> DataFrame:
