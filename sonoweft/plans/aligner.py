@@ -17,12 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import estimation, statistics
+from ..operators.features import Mfcc, mfcc
+
 STATES = 3
 SILENCE = "sil"
 INTERVALS = "utt string, tier string, idx int, label string, word int, start_frame int, end_frame int, loglike double"
 STATS = "pdf int, n double, sx array<double>, sxx array<double>, like double, frames long"
 
 
+#: Boundary refinement: how far a boundary may move, and the step, in milliseconds.
+REACH, STEP = 30, 1
+
+
 @dataclass(frozen=True)
 class Model:
     """One Gaussian per state of each phone; phones by name, the first is silence."""
@@ -198,3 +205,95 @@ def aligned(utts: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in INTERVALS.split(", ")])
 
     return utts.select(F.col("utt").cast("string"), "feats", "words").mapInArrow(task, INTERVALS)
+
+
+def aligned_frames(utts: DataFrame, model: Model) -> DataFrame:
+    """speaker, pdf and x of every frame of the utterances that can be aligned."""
+    send = utts.sparkSession.sparkContext.broadcast(model)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {p: i for i, p in enumerate(send.value.phones)}
+        for b in batches:
+            for speaker, feats, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.array(feats, float)
+                graph = Graph(words, index)
+                path = graph.best_path(send.value.costs(x)) if len(x) else None
+                if path is not None:
+                    pdfs = np.array(graph.pdf, np.int32)[path[1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([speaker] * len(x), pa.string()), pa.array(pdfs), pa.array(feats, pa.list_(pa.float64()))], names=["speaker", "pdf", "x"])
+
+    return utts.select(F.col("speaker").cast("string"), "feats", "words").mapInArrow(task, "speaker string, pdf int, x array<double>")
+
+
+def speaker_transforms(frames: DataFrame, model: Model, min_count: float = 500.0) -> DataFrame:
+    """speaker, row, w, gain: an affine transform of each speaker's features, from aligned frames without silence.
+
+    Frames are first added up per speaker and state; the solutions are made per
+    speaker from these sums.
+    """
+    spark, dim = frames.sparkSession, model.mean.shape[1]
+    rows = [(i, m.tolist(), v.tolist()) for i, (m, v) in enumerate(zip(model.mean, model.var, strict=True))]
+    models = spark.createDataFrame(rows, "pdf int, mean array<double>, var array<double>")
+    spoken = frames.where(F.col("pdf") >= STATES)
+    key = F.concat_ws("\t", "speaker", "pdf")
+    sums = statistics.scatter(spoken.withColumn("sp", key), "sp", "x", dim, augmented=True)
+    sums = sums.select(F.split("key", "\t")[0].alias("speaker"), F.split("key", "\t")[1].cast("int").alias("pdf"), "row", "n", "sums").join(F.broadcast(models), "pdf")
+    last = sums.where(F.col("row") == dim)
+    k = F.array(*[F.array(*[F.sum(F.col("mean")[i] / F.col("var")[i] * F.col("sums")[j]) for j in range(dim + 1)]) for i in range(dim)])
+    k = last.groupBy("speaker").agg(F.sum("n").alias("beta"), k.alias("k")).select("speaker", "beta", F.posexplode("k").alias("dim", "k"))
+    cells = sums.select("speaker", "row", "sums", F.posexplode("var").alias("i", "v"))
+    g = cells.groupBy("speaker", "i", "row").agg(F.array(*[F.sum(F.col("sums")[j] / F.col("v")) for j in range(dim + 1)]).alias("sums"))
+    return estimation.fmllr_transforms(k, g, dim, min_count)
+
+
+def adapted(utts: DataFrame, transforms: DataFrame) -> DataFrame:
+    """Utterances with their speaker's transform applied; speakers without one stay as they are."""
+    rows = transforms.groupBy("speaker").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "w"))), lambda r: r["w"]).alias("_w"))
+    dot = lambda w, x: F.aggregate(F.zip_with(w, F.concat(x, F.array(F.lit(1.0))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    moved = F.transform("feats", lambda x: F.transform("_w", lambda w: dot(w, x)))
+    return utts.join(rows, "speaker", "left").withColumn("feats", F.when(F.col("_w").isNull(), F.col("feats")).otherwise(moved)).drop("_w")
+
+
+def aligned_twice(utts: DataFrame, model: Model, min_count: float = 500.0) -> DataFrame:
+    """Intervals of a second pass, over features adapted to each speaker by the first."""
+    transforms = speaker_transforms(aligned_frames(utts, model), model, min_count)
+    return aligned(adapted(utts, transforms), model)
+
+
+def refined_times(samples: np.ndarray, spans: list[tuple[int, int, str]], model: Model, options: Mfcc = Mfcc()) -> list[float]:
+    """The boundary before each span but the first, in seconds: the best split of 1 ms frames between the two phones' middle states.
+
+    A boundary stays within REACH and within half of each neighbouring span.
+    """
+    index = {p: i for i, p in enumerate(model.phones)}
+    fine = Mfcc(**{**options.__dict__, "shift": options.rate * STEP // 1000})
+    out = []
+    for (a, b, left), (_, e, right) in zip(spans, spans[1:], strict=False):
+        centre = b * options.shift * 1000 // options.rate
+        if left == right:  # nothing tells the two apart
+            out.append(centre / 1000)
+            continue
+        back, on = (min(REACH, (b - a) * 5), min(REACH, (e - b) * 5))
+        lo = centre - back
+        cut = samples[max(0, lo - 20) * options.rate // 1000 : (centre + on + 20) * options.rate // 1000]
+        costs = model.costs(mfcc(cut, fine))[lo - max(0, lo - 20) :][: back + on]
+        middle = STATES // 2  # the outer states have learned frames that hold both phones
+        curve = costs[:, index[right] * STATES + middle] - costs[:, index[left] * STATES + middle]
+        out.append((lo + estimation.refined_boundary(curve, back, back + on)) / 1000)
+    return out
+
+
+def refined(audio: DataFrame, spans: DataFrame, model: Model) -> DataFrame:
+    """utt, idx, label, begin: the refined beginning of each phone (of the first: as it was), from audio rows (utt, samples)."""
+    send = spans.sparkSession.sparkContext.broadcast(model)
+    held = spans.where("tier = 'phones'").groupBy("utt").agg(F.sort_array(F.collect_list(F.struct("idx", "start_frame", "end_frame", "label"))).alias("spans"))
+    rows = audio.select(F.col("utt").cast("string").alias("utt"), "samples").join(held, "utt")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for utt, samples, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                cuts = [(s["start_frame"], s["end_frame"], s["label"]) for s in found]
+                begin = [cuts[0][0] / 100, *refined_times(np.asarray(samples, float), cuts, send.value)]
+                yield pa.RecordBatch.from_arrays([pa.array([utt] * len(cuts)), pa.array([s["idx"] for s in found], pa.int32()), pa.array([c[2] for c in cuts]), pa.array(begin)], names=["utt", "idx", "label", "begin"])
+
+    return rows.select("utt", "samples", "spans").mapInArrow(task, "utt string, idx int, label string, begin double")

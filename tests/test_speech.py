@@ -127,3 +127,38 @@ def test_tree_and_mixture_pieces():
     back = estimation.merged_cheapest(two, 1)[0]
     assert np.allclose(back["mean"], [0.0, 1.0])
     assert estimation.refined_boundary(np.array([1.0, 1, 1, -1, -1]), 2, 2) == 3
+
+
+def test_refinement_brings_boundaries_closer(spark, data):
+    from sonoweft.plans import training
+
+    got = {r["pass"]: r for r in training.tone_refinement(spark, data).collect()}
+    assert got["refined"].within_0_01 > got["frames"].within_0_01
+    assert got["refined"].within_0_01 > 0.95
+
+
+def test_mllt_raises_the_objective():
+    rng = np.random.default_rng(4)
+    mix = rng.normal(size=(3, 3)) + 3 * np.eye(3)
+    x = rng.normal(size=(500, 3)) @ mix.T
+    g = np.stack([x.T @ x / v for v in x.var(0)])
+    a = estimation.mllt_transform(500.0, g)
+    assert estimation.mllt_objective(a, 500.0, g) > estimation.mllt_objective(np.eye(3), 500.0, g)
+
+
+def test_adaptation_undoes_a_speakers_shift(spark):
+    rng = np.random.default_rng(6)
+    m = aligner.Model(("sil", "a"), np.vstack([np.full((3, 2), -8.0), np.full((3, 2), 8.0)]), np.ones((6, 2)))
+    rows = []
+    for speaker, shift in (("s0", 0.0), ("s1", 1.5)):
+        for u in range(8):
+            x = np.vstack([rng.normal(-8, 1, (20, 2)), rng.normal(8, 1, (60, 2)), rng.normal(-8, 1, (20, 2))]) + shift
+            rows.append((f"{speaker}-{u}", speaker, x.tolist(), [[["a"]]]))
+    utts = spark.createDataFrame(rows, "utt string, speaker string, feats array<array<double>>, words array<array<array<string>>>")
+    t = aligner.speaker_transforms(aligner.aligned_frames(utts, m), m, 50)
+    moved = aligner.adapted(utts, t)
+    middle = {}
+    for r in moved.collect():
+        middle.setdefault(r.speaker, []).append(np.mean(r.feats[30:70], axis=0))
+    assert all(np.abs(np.mean(v, axis=0) - 8).max() < 0.3 for v in middle.values())
+    assert aligner.aligned_twice(utts, m, 50).where("tier = 'words'").count() == 16
