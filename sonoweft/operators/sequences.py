@@ -71,8 +71,8 @@ def best_split(frames: DataFrame, x: str = "x", utt: str = "utt", t: str = "t")
 
 
 def shortest(utts: DataFrame, size: str, key: str, n: int) -> DataFrame:
-    """The n shortest utterances (ties by key), in key order."""
-    return utts.orderBy(size, key).limit(n).orderBy(key)
+    """The n shortest utterances (ties by key): each task keeps its n, and only these meet."""
+    return utts.orderBy(size, key).limit(n)
 
 
 def greedy_chunks(utts: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:

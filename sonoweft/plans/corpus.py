@@ -70,16 +70,11 @@ SELECT sym, row_number() OVER (ORDER BY encode(sym)) AS id FROM s UNION ALL SELE
 
 
 def subset_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shortest fifth of the utterances (a subset is a training stage's own size)."""
-    from pyspark.sql.window import Window
-
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    n = d.agg((F.count("*") / 5).cast("int").alias("n"))
-    ranked = d.withColumn("rank", F.row_number().over(Window.orderBy("n_chars", "doc_id")))
-    return ranked.join(F.broadcast(n), F.col("rank") <= F.col("n")).select("doc_id", "n_chars")
+    """The 200 shortest utterances (a subset is a training stage's own size, not the corpus's)."""
+    return sequences.shortest(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 200)
 
 
-SUBSET_SHORTEST = "SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS r, count(*) OVER () AS n FROM documents) WHERE r <= n // 5"
+SUBSET_SHORTEST = "SELECT doc_id, n_chars FROM (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS r FROM documents) WHERE r <= 200"
 
 
 def greedy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,11 +169,8 @@ SELECT label, g, round(sum(p), 4) AS occ, round(sum(p * x) / sum(p), 4) AS mean
 
 def global_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and variance over the first eleven of the shortest utterances, variance floored."""
-    from pyspark.sql.window import Window
-
     f = frames(spark, sf_dir)
-    n = f.groupBy("utt").agg(F.count("*").alias("n"))
-    first = n.withColumn("r", F.row_number().over(Window.orderBy("n", "utt"))).where("r <= 11").select("utt")
+    first = f.groupBy("utt").agg(F.count("*").alias("n")).orderBy("n", "utt").limit(11).select("utt")
     g = f.join(F.broadcast(first), "utt")
     return g.agg(F.count("*").alias("n"), rounded(F.avg("x")).alias("mean"), F.greatest(F.round(F.var_pop("x"), 4), F.lit(1e-4)).alias("var"))
 
