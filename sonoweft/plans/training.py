@@ -102,13 +102,23 @@ def mixture_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A context tree over event triples, grown by gain; questions ask for left, centre or right labels."""
+    """A context tree over event triples, grown by gain, with leaves merged to a multiple of 8.
+
+    Questions ask whether the left, centre or right label is in a set that
+    clustering of the labels has formed.
+    """
     c = sequences.context(frames(spark, sf_dir), "label", outside="#")
-    rows = c.groupBy("left", "label", "right").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx")).orderBy("left", "label", "right").collect()
+    sums = [F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx")]
+    rows = c.groupBy("left", "label", "right").agg(*sums).orderBy("left", "label", "right").collect()  # bounded by the labels
     stats = [({"left": r["left"], "label": r["label"], "right": r["right"]}, np.array([r["n"], r["sx"], r["sxx"]])) for r in rows]
-    labels = sorted({s[0]["label"] for s in stats})
-    nodes = estimation.grown_tree(stats, [(k, frozenset([x])) for k in ("left", "label", "right") for x in labels], 0.5, 24)
-    out = [(n["id"], n.get("key"), n.get("yes_set"), n.get("yes"), n.get("no"), n.get("leaf"), int(n["n"])) for n in nodes]
+    by_label: dict[str, np.ndarray] = {}
+    for context, s in stats:
+        by_label[context["label"]] = by_label.get(context["label"], 0) + s
+    sets = estimation.question_sets(by_label)
+    nodes = estimation.grown_tree(stats, [(k, values) for k in ("left", "label", "right") for values in sets], 0.5, 24)
+    leaves = {n["leaf"]: sum(stats[i][1] for i in n["rows"]) for n in nodes if "leaf" in n}
+    merged = estimation.merged_leaves(leaves, 8)
+    out = [(n["id"], n.get("key"), n.get("yes_set"), n.get("yes"), n.get("no"), merged.get(n.get("leaf")), int(n["n"])) for n in nodes]
     return spark.createDataFrame(out, "node int, key string, yes_set array<string>, yes int, no int, leaf int, n long")
 
 

@@ -162,3 +162,12 @@ def test_adaptation_undoes_a_speakers_shift(spark):
         middle.setdefault(r.speaker, []).append(np.mean(r.feats[30:70], axis=0))
     assert all(np.abs(np.mean(v, axis=0) - 8).max() < 0.3 for v in middle.values())
     assert aligner.aligned_twice(utts, m, 50).where("tier = 'words'").count() == 16
+
+
+def test_questions_and_merged_leaves():
+    flat = lambda m, n=50.0: np.array([n, n * m, n * (m * m + 1)])
+    sets = estimation.question_sets({"a": flat(0), "b": flat(0.2), "c": flat(9), "d": flat(9.3)})
+    assert frozenset("ab") in sets and frozenset("cd") in sets and frozenset("bc") not in sets
+    merged = estimation.merged_leaves({k: flat(m) for k, m in enumerate((0, 5, 0.1, 9, 30))}, 4)
+    assert merged == {0: 0, 2: 0, 1: 1, 3: 2, 4: 3}
+    assert estimation.merged_leaves({0: flat(0), 1: flat(1)}, 8) == {0: 0, 1: 1}
