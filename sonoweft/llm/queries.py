@@ -68,9 +68,9 @@ FROM grouped
 
 
 def op4_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = shared.materialize(media.rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "images")
-    queries = media.edited(images.where("image_id % 100 = 0"))
-    found = media.copies(images, queries)
+    embeddings = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    queries = media.edited(media.rendered(embeddings.where("vec_id % 100 = 0")))
+    found = media.copies(media.rendered(embeddings), queries)
     return found.select(F.col("image_id").alias("vec_id"), "class_id", F.col("queries.query_id").alias("query_ids"), F.col("queries.inliers").alias("inliers"))
 
 
