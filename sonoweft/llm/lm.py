@@ -208,7 +208,7 @@ def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
 
-def score(docs: DataFrame, held: Column, order: int = 2, add: float = 0.1, strength: float = 4.0, block_size: int = 1 << 24) -> DataFrame:
+def score(docs: DataFrame, held: Column, order: int = 2, add: float = 0.1, strength: float = 4.0, block_size: int = 1 << 23) -> DataFrame:
     """Scores every text; rows where ``held`` is true do not train."""
     spark = docs.sparkSession
     held = F.coalesce(held, F.lit(False))
