@@ -50,7 +50,7 @@ class Graph:
         self.pdf: list[int] = []
         self.unit: list[tuple[int, str, int]] = []  # phone occurrence, phone and word of each state
         self.arcs: list[tuple[int, int, float]] = []
-        half, self.units = float(np.log(2)), 0
+        self.units = 0
         ends = self._optional([(-1, 0.0)], index)
         for w, prons in enumerate(words):
             out = []
@@ -61,7 +61,6 @@ class Graph:
                 out += at
             ends = self._optional(out, index) if out else ends
         self.final = ends
-        self.half = half
 
     def _phone(self, ends: list[tuple[int, float]], phone: str, word: int, index: dict[str, int]) -> list[tuple[int, float]]:
         first, half = len(self.pdf), float(np.log(2))
