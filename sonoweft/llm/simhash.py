@@ -164,7 +164,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Of rows with that doc_id and different texts the one with the least text hash
     stays. Rows without a doc_id can't be named as a component's row and stay.
     """
-    rows = near_duplicates(docs, **options).where("doc_id = component_id")
+    return keep_one(docs, near_duplicates(docs, **options))
+
+
+def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``one_of_each`` keeps, by their doc_id, component_id, root and text_hash."""
+    rows = rows.where("doc_id = component_id")
     stay = rows.groupBy("doc_id", "root").agg(F.min("text_hash").alias("_hash")).select("doc_id", "_hash")
     stay = materialize(stay.distinct(), "simhash-stay")
     hashed = docs.where("doc_id IS NOT NULL").withColumn("_hash", F.xxhash64("text"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sonoweft.llm import chat, components, decontam, lm, media, packing, queries, sharding, shared, simhash, tokenfile, tokens, toxicity, warc
+from sonoweft.llm import chat, components, decontam, lm, media, packing, queries, sharding, shared, similar, simhash, tokenfile, tokens, toxicity, warc
 
 DOCS = "doc_id long, text string, score double, fp string, _hash long, shard int"
 LONG = "".join(f"word{i % 977} " for i in range(30_000))
@@ -467,6 +467,51 @@ def test_media(spark, data):
     assert media.copies(table.limit(0), first).count() == 0
 
 
+def test_near_duplicate_stage_equals_brute_force(spark, data, docs, none):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(60):  # copies by themselves, from similarity 1 to below 0.7
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append((10_000 + 2 * k, " ".join(words)))
+        for at in rng.choice(300, k % 15, replace=False):
+            words[at] = "other"
+        rows.append((10_001 + 2 * k, " ".join(words)))
+    base = [f"v{x}" for x in rng.integers(0, 5000, 200)]
+    for k in range(90):  # a group that one key can hold
+        words = list(base)
+        words[int(rng.integers(200))] = f"x{k}"
+        rows.append((20_000 + k, " ".join(words)))
+    whole = spark.createDataFrame(rows, "doc_id long, text string").unionByName(spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")).unionByName(docs.select("doc_id", "text"))
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, whole, data).collect()}
+    table = [(r.doc_id, r.text) for r in whole.collect()]
+
+    def cut(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [cut(t) for _, t in table]
+    parent = list(range(len(table)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(table):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    assert got == {*least.values(), None}
+    assert corpus_pipeline.drop_near_duplicates(spark, none, data).count() == 0
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline
 
