@@ -22,6 +22,7 @@ often as they occur; empty tables give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,23 +169,24 @@ def _hits(texts: list[str | None], passages: Passages) -> list[tuple[int, int, i
     return rows
 
 
-_built: dict[int, Passages] = {}
+_built: dict[tuple[str, tuple], Passages] = {}
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in lists of about ``block_bytes`` of text."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[str, list[tuple[int, str]]]]:
+    """The benchmark in lists of about ``block_bytes`` of text, each with a name of its own."""
     known = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     n = -(-(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
     for k in range(n):
-        yield sorted((r["item_id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
+        yield uuid.uuid4().hex, sorted((r["item_id"], r["text"]) for r in known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
 
 
-def _passages(items: list[tuple[int, str]], options: tuple) -> Passages:
+def _passages(block: tuple[str, list[tuple[int, str]]], options: tuple) -> Passages:
     """The worker's index of a block; its tasks share it."""
-    if (id(items), options) not in _built:
+    name, items = block
+    if (name, options) not in _built:
         _built.clear()
-        _built[id(items), options] = Passages(items, *options)
-    return _built[id(items), options]
+        _built[name, options] = Passages(items, *options)
+    return _built[name, options]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, shortest: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
@@ -194,8 +196,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, s
     were inserted or left out); edits is the edit distance in normal form.
     """
     spark, out = docs.sparkSession, None
-    for items in _blocks(benchmark, block_bytes):
-        send = spark.sparkContext.broadcast(items)
+    for block in _blocks(benchmark, block_bytes):
+        send = spark.sparkContext.broadcast(block)
 
         def task(batches: Iterator[pa.RecordBatch], send=send) -> Iterator[pa.RecordBatch]:
             passages = _passages(send.value, (q, rate, shortest))
@@ -215,8 +217,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, s
 def clean(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, shortest: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows whose text holds no passage, with all their columns; nothing is shuffled."""
     at = docs.columns.index("text")
-    for items in _blocks(benchmark, block_bytes):
-        send = docs.sparkSession.sparkContext.broadcast(items)
+    for block in _blocks(benchmark, block_bytes):
+        send = docs.sparkSession.sparkContext.broadcast(block)
 
         def task(batches: Iterator[pa.RecordBatch], send=send) -> Iterator[pa.RecordBatch]:
             passages = _passages(send.value, (q, rate, shortest))

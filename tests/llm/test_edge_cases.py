@@ -6,6 +6,7 @@ import base64
 import gzip
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -290,6 +291,20 @@ def test_decontamination_equals_brute_force(seed):
     assert got == want
 
 
+def test_every_block_of_a_benchmark_is_searched(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    items = [(i, " ".join("".join(rng.choice(list("abcdefghijklm"), 7)) for _ in range(12))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    d = spark.createDataFrame([(i, f"before {t} after") for i, t in items], "doc_id long, text string").coalesce(1)
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(pickle.dumps(value)) or send(value))
+    got = decontam.hits(d, bench, block_bytes=300).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i, _ in items]
+    # a worker that is used again drops each block before it opens the next
+    searched = [i for block in sent for i, _ in decontam._passages(pickle.loads(block), (8, 0.1, 32)).items]
+    assert len(sent) > 5 and sorted(searched) == [i for i, _ in items]
+
+
 def test_language_model(spark, docs, none):
     held = toxicity.remainder("doc_id", 10) == 0
     for order in (1, 2, 3):
