@@ -68,12 +68,15 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The good record that begins at ``at`` and the place after it."""
     if not data.startswith(VERSION, at):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", at, at + (1 << 16))
+    end = data.find(b"\r\n", at, at + 64)
     if end < 0:
-        raise Bad("headers without an end")
+        raise Bad("version line without an end")
     fields = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    while not data.startswith(b"\r\n", end + 2):  # headers may be of any length; the first line that is none ends the search
+        begin, end = end + 2, data.find(b"\r\n", end + 2)
+        if end < 0:
+            raise Bad("headers without an end")
+        name, colon, value = data[begin:end].partition(b":")
         if not colon:
             raise Bad("header without a colon")
         fields[name.strip().lower()] = value.strip()

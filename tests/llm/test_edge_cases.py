@@ -465,6 +465,16 @@ def test_salvage_recovers_what_follows_damage(compress):
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk")) == [(0, 4, None, "no version line")]
 
 
+@pytest.mark.parametrize("compress", [True, False])
+def test_headers_of_any_length_are_read(compress):
+    url, body = "http://x/" + "long" * 25_000 + "\x01" * 20_000, b"page"
+    digest = warc.base32_sha1(body)
+    made = [warc.record_bytes(kind, f"<urn:page:{i}>", url, body, digest, len(body), to) for i, (kind, to) in enumerate([("response", None), ("revisit", "<urn:page:0>"), ("response", None)])]
+    out = list(warc.salvage(b"".join(gzip.compress(m) if compress else m for m in made)))
+    assert [(r["record_id"], r["payload_bytes"], r["refers_to"]) for _, _, r, reason in out if not reason] == [("<urn:page:0>", 4, None), ("<urn:page:1>", 4, "<urn:page:0>"), ("<urn:page:2>", 4, None)]
+    assert all(r["target"] == "http://x/" + "long" * 25_000 + "%01" * 20_000 for _, _, r, _ in out)
+
+
 def test_media(spark, data):
     e = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").limit(30)
     images = shared.materialize(media.rendered(e), "i")
