@@ -537,6 +537,19 @@ def test_near_duplicate_stage_equals_brute_force(spark, data, docs, none):
     assert corpus_pipeline.drop_near_duplicates(spark, none, data).count() == 0
 
 
+def test_media_of_large_images_and_of_changed_corners(spark):
+    large = np.random.default_rng(2).integers(0, 255, (64, 64)).repeat(8, 0).repeat(8, 1)
+    assert sum(p[2] == 0 for p in media.describe(large.astype(np.float32))) > media.CORNERS
+    kept = [int(a) & (1 << 64) - 1 for a in media._KEY_MASKS[0]]
+    flips = sum(1 << i for i in [i for i in range(64) if not kept[0] >> i & 1][:20])
+    flips -= (flips >> 63) << 64
+    kind = "image_id long, corner int, x float, y float, level int, turn int, d0 long, d1 long"
+    corners = [(1, k, 10.0 * k, 7.0 * k, 0, 0, 1 << k, k) for k in range(6)]
+    changed = [(2, *c[1:6], c[6] ^ flips, c[7]) for c in corners]
+    got = media.search(spark.createDataFrame(corners, kind), spark.createDataFrame(changed, kind)).collect()
+    assert [(r.query_id, r.image_id) for r in got] == [(1, 2)]
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline
 
