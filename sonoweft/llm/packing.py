@@ -41,11 +41,11 @@ def cut(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 0, ca
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, step = tokens.encoder(tokenizer, kind), struct.pack("<I", end_id), 4 * capacity
-        rows = tokens.rows_of(batches)
-        for chunk in tokens.chunks(rows, 1):
+        for some in tokens.slices(batches, 1):
             out: list[tuple] = []
-            for (doc_id, _), ids in zip(chunk, encoder.encode([t for _, t in chunk]), strict=True):
-                ids += end
+            flat, starts = encoder.encode(some.column(1))
+            for k, doc_id in enumerate(some.column(0).to_pylist()):
+                ids = flat[starts[k] : starts[k + 1]].tobytes() + end
                 for i in range(0, len(ids), step):
                     piece = ids[i : i + step]
                     out.append((doc_id, i // step, i // 4, len(piece) // 4, zlib.crc32(piece), piece if with_ids else None))

@@ -126,15 +126,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "byte", end_
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, path = TaskContext.get().partitionId(), None, ""
         encoder, end = tokens.encoder(tokenizer, kind), struct.pack("<I", end_id)
-        rows = tokens.rows_of(batches)
-        for chunk in tokens.chunks(rows, 1):
+        for some in tokens.slices(batches, 1):
             if writer is None:
                 files, top = pafs.FileSystem.from_uri(folder)
                 files.create_dir(top, recursive=True)
                 path = f"{top}/part-{part:06d}-{uuid.uuid4().hex}.zst"
                 writer = FrameWriter(files.open_output_stream(path, compression=None))
-            for (doc_id, _), ids in zip(chunk, encoder.encode([t for _, t in chunk]), strict=True):
-                writer.add(doc_id, ids + end)
+            flat, starts = encoder.encode(some.column(1))
+            for i, doc_id in enumerate(some.column(0).to_pylist()):
+                writer.add(doc_id, flat[starts[i] : starts[i + 1]].tobytes() + end)
         if writer is not None:
             writer.close()
             ids = [d for d in writer.docs if d is not None]

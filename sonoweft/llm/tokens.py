@@ -1,8 +1,9 @@
 """Token ids of whole texts, with the tokenizers library.
 
-A text is cut where no token can span, the distinct units are encoded by the
-library, and their ids are joined. Natural text repeats its words, so most
-units come from the cache and the result equals that of one call on the text.
+A text is cut where no token can span, the distinct units of a batch are looked
+up or encoded by the library, and their ids are laid out in order by Arrow and
+numpy. Natural text repeats its words, so most units come from the cache; the
+result equals that of one plain call of the library on each whole text.
 """
 
 from __future__ import annotations
@@ -10,29 +11,40 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
-#: The units that a worker keeps; beyond it the cache starts anew.
-CACHED_UNITS = 700_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Units after which a worker's cache begins a new generation; units that the last one held are carried over when met.
+GENERATION = 700_000
 
 #: Before a space or line feed that stands alone between two other characters, and after such a line feed.
 _BYTE_LEVEL_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
+#: White space other than single spaces and line feeds inside a text (RE2 syntax; its own \s is ASCII only).
+_ODD_SPACE = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+#: A run of these after a letter begins a token (the apostrophe may begin a contraction and is left out).
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def _units_by_space(text: str) -> list[str]:
-    return [u for u in text.replace("\n", " ").split(" ") if u]
+def _units_by_space(texts: pa.Array) -> pa.ListArray:
+    """The word BPE drops white space: the words of a text (empty ones are encoded as nothing)."""
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
 
-def _units_with_space(text: str) -> list[str]:
-    spaces, lines = text.count(" "), text.count("\n")
-    if len(text.split()) == 1 + spaces + lines and "\0" not in text:  # white space stands alone everywhere
-        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-    return _BYTE_LEVEL_CUT.split(text)
+def _units_with_space(texts: pa.Array) -> pa.ListArray:
+    """Byte-level BPE keeps a space with the word after it. Texts must be free of the code point 0."""
+    odd = pc.match_substring_regex(texts, _ODD_SPACE)
+    cut = pc.replace_substring(pc.replace_substring(texts, "\n", "\0\n\0"), " ", "\0 ")
+    if pc.any(odd).as_py():
+        by_rule = pa.array(["\0".join(_BYTE_LEVEL_CUT.split(t)) for t in texts.filter(odd).to_pylist()], texts.type)
+        cut = pc.replace_with_mask(cut, odd, by_rule)
+    return pc.split_pattern(cut, "\0")
 
 
-#: How a text may be cut, by the kind of pre-tokenizer: byte-level BPE keeps a
-#: space with the word after it; the word BPE drops white space.
-CUTS: dict[str, Callable[[str], list[str]]] = {"byte": _units_with_space, "word": _units_by_space}
+#: How texts may be cut, by the kind of pre-tokenizer.
+CUTS = {"byte": _units_with_space, "word": _units_by_space}
 
 _open: dict[str, "UnitEncoder"] = {}
 
@@ -45,29 +57,71 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.cut = CUTS[kind]
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.cut(t) if t else [] for t in texts]
-        if len(self.cache) > CACHED_UNITS:
-            self.cache.clear()
-        cache = self.cache
-        new = set().union(*cut).difference(cache)
-        # after a letter, a mark starts a token of its own: only the word before it is new, if at all
-        marked = [u for u in new if u[-1] in ".,;:" and u[-2:-1].isalpha()]
-        new.difference_update(marked)
-        new.update(x for u in marked for x in (u[:-1], u[-1]) if x not in cache)
+        self.cache: dict[str, bytes] = {"": b""}
+        self.past: dict[str, bytes] = {}
+
+    def _ids(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units."""
+        if len(self.cache) > GENERATION:
+            self.cache, self.past = {"": b""}, self.cache
+        cache, past = self.cache, self.past
+        known = list(map(cache.get, units))
+        missing = [i for i, ids in enumerate(known) if ids is None]
+        parts, new = [], set()
+        for i in missing:
+            u = units[i]
+            if (ids := past.get(u)) is not None:
+                cache[u] = ids
+                continue
+            stem = u.rstrip(_MARKS)
+            if stem and len(stem) < len(u) and stem[-1].isalpha() and stem[-1] < "ɐ" and not self.added.search(u):
+                parts.append((u, stem, u[len(stem) :]))
+            else:
+                new.add(u)
+        for x in {x for _, *some in parts for x in some}:
+            if x not in cache:
+                if (ids := past.get(x)) is not None:
+                    cache[x] = ids
+                else:
+                    new.add(x)
         todo = list(new)
         for i in range(0, len(todo), 4096):
-            part = todo[i : i + 4096]
-            for unit, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            some = todo[i : i + 4096]
+            for unit, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 cache[unit] = array("I", e.ids).tobytes()
-        for u in marked:
-            cache[u] = cache[u[:-1]] + cache[u[-1]]
-        get = cache.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        for u, stem, marks in parts:
+            cache[u] = cache[stem] + cache[marks]
+        for i in missing:
+            known[i] = cache[units[i]]
+        return known
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin (and the last one's end)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = pc.match_substring(texts, "\0")
+        listed = self.cut(pc.if_else(whole, "", texts) if pc.any(whole).as_py() else texts)
+        units = listed.flatten().dictionary_encode()
+        known = self._ids(units.dictionary.to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        ids, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        at = units.indices.to_numpy(zero_copy_only=False)
+        many = size[at]
+        ends = np.cumsum(many)
+        # the place of each id among those of the distinct units
+        place = np.repeat(first[at] - (ends - many), many)
+        place += np.arange(len(place))
+        flat = ids[place]
+        offsets = listed.offsets.to_numpy()
+        starts = np.append(0, ends)[offsets - offsets[0]]
+        if not pc.any(whole).as_py():
+            return flat, starts
+        pieces = [flat[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            pieces[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        return np.concatenate(pieces), np.cumsum([0, *map(len, pieces)])
 
 
 def encoder(path: str, kind: str) -> UnitEncoder:
@@ -77,6 +131,18 @@ def encoder(path: str, kind: str) -> UnitEncoder:
     return _open[key]
 
 
+def slices(batches: Iterable[pa.RecordBatch], text_at: int, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of about ``size`` bytes of text; a longer text stands alone."""
+    for b in batches:
+        length = pc.fill_null(pc.binary_length(b.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+        ends, i = np.cumsum(length), 0
+        while i < b.num_rows:
+            before = ends[i] - length[i]
+            j = max(i + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
 def rows_of(batches: Iterable, step: int = 512) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples, a few at a time."""
     for b in batches:

@@ -12,6 +12,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -49,11 +50,10 @@ def none(spark):
 def test_units_encode_like_whole_texts(spark, data, file, kind):
     path = queries.vocabulary(file)
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").limit(150).collect()] + [r[1] for r in ROWS]
-    texts += ["a  b", "a \n b", "\n\na", "x.\ny", "a b ́c", "don't we'll 's", "end. ", "A.B., C:;", "　a b"]
-    got = tokens.encoder(path, kind).encode(texts)
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    texts += ["a  b", "a \n b", "\n\na", "x.\ny", "a b ́c", "don't we'll 's", "end. ", "A.B., C:;", "　a b", "a<|endoftext|>b <|endoftext|>\nc.<|startoftext|>", "é.. ñ-(x) ʃ. a.'s b!!'", "\0", "x \0<|endoftext|> y", "a\x1cb c\x85 d", " a b ", "\ufeffx y\u200b z"]
+    flat, starts = tokens.encoder(path, kind).encode(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:])] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files(spark, docs, none):
@@ -69,12 +69,29 @@ def test_token_files(spark, docs, none):
     known = [r.doc_id for r in sorted(got, key=lambda r: r.start) if r.doc_id is not None]
     assert known == sorted(known)
     assert next(r for r in got if r.doc_id == 2).n_tokens == 1
+    whole, ends = Tokenizer.from_file(path), {}
+    for d, ids in sorted(((r[0], whole.encode(r[1] or "", add_special_tokens=False).ids + [2]) for r in ROWS), key=lambda x: (x[0] is not None, x[0])):
+        ends.setdefault(d, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    for d, want in ends.items():
+        assert sorted((r.n_tokens, r.ids_crc32) for r in got if r.doc_id == d) == sorted(want)
     some = tokenfile.read_documents(manifest, folder, spark.createDataFrame([(8,), (99,)], "doc_id long")).collect()
     want = Tokenizer.from_file(path).encode("fox", add_special_tokens=False).ids + [2]
     assert [(r.doc_id, r.ids) for r in some] == [(8, want)]
     assert tokenfile.round_trip(spark, none, path).count() == 0
 
 
+def test_token_files_equal_the_library(spark, data):
+    path = queries.vocabulary("byte_bpe_50k.json")
+    whole, at = Tokenizer.from_file(path), 0
+    table = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    got = {r.doc_id: r for r in queries.op9_token_files(spark, data).collect()}
+    assert len(got) == len(table)
+    for r in table:
+        ids = whole.encode(r.text or "", add_special_tokens=False).ids + [2]
+        assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_a_damaged_frame_is_noticed(tmp_path):
     import pyarrow.fs as pafs
 
