@@ -10,12 +10,15 @@ and texts, ``\`` becomes ``\\``, ``#`` becomes ``\#`` and ``</turn>`` becomes
 ``<\/turn>`` (in roles also ``:`` becomes ``\:``), so neither a header nor an end
 mark can occur inside them; removing one backslash before any character undoes it.
 
-Only DataFrame functions run here.
+Only DataFrame functions run here. The paths are taken from a skeleton of the
+record, in which string values are blank, so texts of any length go through.
 
 Defined results: a null text or role is an empty one; turns with equal numbers
-are ordered by role and text; repeated rows are repeated turns; a conversation
-without assistant turns has an empty loss mask; null or malformed JSON has
-layout null; an empty table gives no rows. Extra columns are ignored.
+are ordered by role and text; repeated rows are repeated turns; rows with a null
+conv_id are one conversation; a conversation without assistant turns has an
+empty loss mask; null or malformed JSON has layout null; an empty table gives no
+rows. Extra columns are ignored. A conversation is one record, so it must fit in
+a task's memory and below Spark's 2 GB for a value.
 """
 
 from __future__ import annotations
@@ -28,11 +31,6 @@ from pyspark.sql import functions as F
 TURNS = "array<struct<role:string,text:string>>"
 
 
-def _paths(schema: str) -> str:
-    """Field paths only: type names after a field or inside an array are left out."""
-    return f"regexp_replace({schema}, '(: |ARRAY<)(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL[(][0-9,]+[)])', '$1')"
-
-
 @dataclass(frozen=True)
 class Mapping:
     """A layout: an example record, and the turns as a SQL expression over the JSON text ``r``."""
@@ -42,37 +40,53 @@ class Mapping:
     turns: str
 
 
+def _json(schema: str) -> str:
+    """The record ``r`` as a struct, with strings of any length."""
+    return f"from_json(r, '{schema}', map('maxStringLen', '2147483647'))"
+
+
 #: Layouts by example: the fingerprint is taken from the example record.
 MAPPINGS = (
-    Mapping("messages", '{"messages":[{"role":"","content":""}]}', "transform(from_json(r, 'struct<messages:array<struct<role:string,content:string>>>').messages, x -> struct(x.role AS role, x.content AS text))"),
-    Mapping("conversations", '{"conversations":[{"from":"","value":""}]}', "transform(from_json(r, 'struct<conversations:array<struct<`from`:string,value:string>>>').conversations, x -> struct(x.`from` AS role, x.value AS text))"),
-    Mapping("dialog", '{"dialog":{"turns":[{"speaker":{"name":""},"utterance":""}]}}', "transform(from_json(r, 'struct<dialog:struct<turns:array<struct<speaker:struct<name:string>,utterance:string>>>>').dialog.turns, x -> struct(x.speaker.name AS role, x.utterance AS text))"),
-    Mapping("instruction", '{"instruction":"","input":"","output":""}', "array(struct('system' AS role, get_json_object(r, '$.instruction') AS text), struct('user' AS role, get_json_object(r, '$.input') AS text), struct('assistant' AS role, get_json_object(r, '$.output') AS text))"),
-    Mapping("prompt", '{"prompt":"","completion":""}', "array(struct('user' AS role, get_json_object(r, '$.prompt') AS text), struct('assistant' AS role, get_json_object(r, '$.completion') AS text))"),
+    Mapping("messages", '{"messages":[{"role":"","content":""}]}', f"transform({_json('struct<messages:array<struct<role:string,content:string>>>')}.messages, x -> struct(x.role AS role, x.content AS text))"),
+    Mapping("conversations", '{"conversations":[{"from":"","value":""}]}', f"transform({_json('struct<conversations:array<struct<`from`:string,value:string>>>')}.conversations, x -> struct(x.`from` AS role, x.value AS text))"),
+    Mapping("dialog", '{"dialog":{"turns":[{"speaker":{"name":""},"utterance":""}]}}', f"transform({_json('struct<dialog:struct<turns:array<struct<speaker:struct<name:string>,utterance:string>>>>')}.dialog.turns, x -> struct(x.speaker.name AS role, x.utterance AS text))"),
+    Mapping("instruction", '{"instruction":"","input":"","output":""}', f"transform(array({_json('struct<instruction:string,input:string,output:string>')}), x -> array(struct('system' AS role, x.instruction AS text), struct('user' AS role, x.input AS text), struct('assistant' AS role, x.output AS text)))[0]"),
+    Mapping("prompt", '{"prompt":"","completion":""}', f"transform(array({_json('struct<prompt:string,completion:string>')}), x -> array(struct('user' AS role, x.prompt AS text), struct('assistant' AS role, x.completion AS text)))[0]"),
 )
 
+#: A JSON string, matched without backtracking. With a colon after it, it is a name.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def skeleton(record: Column) -> Column:
+    """The record with blank string values: names, nesting and the other values stay."""
+    bare = F.regexp_replace(record, rf"(?s)({_STRING}\s*+:)|{_STRING}", "$1")
+    return F.regexp_replace(bare, r"(?<=[:\[,])\s*+(?=[,}\]])", '""')
+
 
-def fingerprint(record: str) -> Column:
+def fingerprint(record: Column) -> Column:
     """Of a column of JSON text; null where it isn't JSON."""
-    return F.expr(f"sha2({_paths(f'schema_of_variant(try_parse_json({record}))')}, 256)")
+    schema = F.schema_of_variant(F.try_parse_json(skeleton(record)))
+    return F.sha2(F.regexp_replace(schema, r"(: |ARRAY<)(STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL[(][0-9,]+[)])", "$1"), 256)
 
 
 def known_layouts(spark: SparkSession, mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
     """The mappings by fingerprint."""
-    row = spark.range(1).select(*[fingerprint(f"'{m.example}'").alias(m.name) for m in mappings]).first()
+    row = spark.range(1).select(*[fingerprint(F.lit(m.example)).alias(m.name) for m in mappings]).first()
     return {row[m.name]: m for m in mappings}
 
 
 def canonical(records: DataFrame, column: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Adds fingerprint, layout and turns (array of role and text) to JSON records."""
     known = known_layouts(records.sparkSession, mappings)
-    out = records.withColumn("fingerprint", fingerprint(column))
+    out = records.withColumn("fingerprint", fingerprint(F.col(column)))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for key, m in known.items():
         here = F.col("fingerprint") == key
         layout = F.when(here, m.name).otherwise(layout)
         turns = F.when(here, F.expr(m.turns.replace("(r, ", f"({column}, ")).cast(TURNS)).otherwise(turns)
     blank = lambda c: F.coalesce(c, F.lit(""))
+    layout = F.when(turns.isNotNull(), layout)  # a record whose values can't be read has none
     return out.withColumn("layout", layout).withColumn("turns", F.transform(turns, lambda x: F.struct(blank(x["role"]).alias("role"), blank(x["text"]).alias("text"))))
 
 
@@ -112,7 +126,7 @@ def parsed(text: Column) -> Column:
     """The turns that a formatted text holds."""
     pieces = F.split(text, "</turn>\n", -1)
     pieces = F.slice(pieces, 1, F.size(pieces) - 1)
-    head = r"(?s)^### ((?:[^\\:]|\\.)*): (.*)$"
+    head = r"(?s)^### ((?:[^\\:]++|\\.)*+): (.*+)$"
     return F.transform(pieces, lambda x: F.struct(unescape(F.regexp_extract(x, head, 1)).alias("role"), unescape(F.regexp_extract(x, head, 2)).alias("text")))
 
 
@@ -130,14 +144,14 @@ def records_of(conversations: DataFrame) -> DataFrame:
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
     rows = conversations.select("conv_id", "turn", blank("role"), blank("text"))
     t = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    roles = F.array_join("t.role", "\n")
-    text = lambda i: F.col("t")[i]["text"]
+    are = lambda *names: F.col("t.role") == F.array(*map(F.lit, names))
+    text = lambda i: F.get("t", F.lit(i))["text"]
     messages = lambda *names: F.transform("t", lambda x: F.struct(x["role"].alias(names[0]), x["text"].alias(names[1])))
     third = F.coalesce(F.pmod("conv_id", F.lit(3)), F.lit(0))
     speakers = F.transform("t", lambda x: F.struct(F.struct(x["role"].alias("name")).alias("speaker"), x["text"].alias("utterance")))
     record = (
-        F.when(roles == "user\nassistant", F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion"))))
-        .when(roles == "system\nuser\nassistant", F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("input"), text(2).alias("output"))))
+        F.when(are("user", "assistant"), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("completion"))))
+        .when(are("system", "user", "assistant"), F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("input"), text(2).alias("output"))))
         .when(third == 0, F.to_json(F.struct(messages("role", "content").alias("messages"))))
         .when(third == 1, F.to_json(F.struct(messages("from", "value").alias("conversations"))))
         .otherwise(F.to_json(F.struct(F.struct(speakers.alias("turns")).alias("dialog"))))

@@ -57,11 +57,11 @@ WITH rows AS (
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss,
     sum(chars)::BIGINT AS formatted_chars,
-    string_agg(role, ' ' ORDER BY turn, role, text) AS roles
+    list(role ORDER BY turn, role, text) AS roles
   FROM sized GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
-  CASE WHEN roles = 'user assistant' THEN 'prompt' WHEN roles = 'system user assistant' THEN 'instruction'
+  CASE WHEN roles = ['user', 'assistant'] THEN 'prompt' WHEN roles = ['system', 'user', 'assistant'] THEN 'instruction'
     WHEN coalesce(((conv_id % 3) + 3) % 3, 0) = 0 THEN 'messages' WHEN ((conv_id % 3) + 3) % 3 = 1 THEN 'conversations' ELSE 'dialog' END AS layout
 FROM grouped
 """

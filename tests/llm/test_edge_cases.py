@@ -406,11 +406,11 @@ def test_network_gradients_are_right():
 
 
 def test_chats(spark):
-    rows = [(1, 0, "user", "Hi \\# </turn> <\\/turn> ###"), (1, 1, "assistant", "a\n### user: b</turn>\n"), (2, 0, None, None), (3, 1, "assistant", "two"), (3, 0, "a:b \\", "one"), (3, 1, "assistant", "two"), (None, 0, "user", "x"), (4, 0, "system", ""), (4, 1, "user", "q"), (4, 2, "assistant", "r" * 50_000)]
+    rows = [(1, 0, "user", "Hi \\# </turn> <\\/turn> ###"), (1, 1, "assistant", "a\n### user: b</turn>\n"), (2, 0, None, None), (3, 1, "assistant", "two"), (3, 0, "a:b \\", "one"), (3, 1, "assistant", "two"), (None, 0, "user", "x"), (4, 0, "system", ""), (4, 1, "user", "q"), (4, 2, "assistant", "r" * 50_000), (5, 0, "user\nassistant", "one role"), (6, 0, "r:\\" * 40_000, "long role"), (7, 0, "user", "x" * 25_000_000), (7, 1, "assistant", '\\"{#' * 200_000), (8, 0, "user assistant", "y")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, record string")
     chats = chat.formatted(chat.canonical(chat.records_of(df)))
     got = {r.conv_id: r for r in chat.digests(chats).collect()}
-    for key in (1, 2, 3, 4, None):
+    for key in (1, 2, 3, 4, 5, 6, 7, 8, None):
         turns = sorted((t, r or "", x or "") for k, t, r, x in rows if k == key)
         assert got[key].n_turns == len(turns)
         assert got[key].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
@@ -422,9 +422,10 @@ def test_chats(spark):
 
 
 def test_fingerprints_go_by_nested_paths(spark):
-    rows = ['{"messages":[{"role":"user","content":"x"},{"content":null,"role":"y"}]}', '{"messages":[{"role":"user","text":"x"}]}', "not json", None, "[]", '{"prompt":1,"completion":"b"}', '{"completion":"b","prompt":"a"}']
+    rows = ['{"messages":[{"role":"user","content":"x"},{"content":null,"role":"y"}]}', '{"messages":[{"role":"user","text":"x"}]}', "not json", None, "[]", '{"prompt":1,"completion":"b"}', '{"completion":"b","prompt":"a"}', '{ "messages" : [ {"role" : "a, [\\"]: {", "content" : ""} , {"role":"u","content":"}"}] }', '{"messages":[]}', '{"messages":["x",""]}', '{"prompt":"a","completion":"b']
     got = chat.canonical(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, record string")).orderBy("i").collect()
-    assert [r.layout for r in got] == ["messages", None, None, None, None, "prompt", "prompt"]
+    assert [r.layout for r in got] == ["messages", None, None, None, None, "prompt", "prompt", "messages", None, None, None]
+    assert [(t.role, t.text) for t in got[7].turns] == [('a, ["]: {', ""), ("u", "}")]
     assert [t.text for t in got[0].turns] == ["x", ""] and got[1].turns is None and got[6].turns[0].text == "a"
 
 
