@@ -2,8 +2,8 @@
 
 The reader takes an archive of plain records or of gzip members. A record is
 good if its version line, headers, length, closing line ends and block digest
-hold (for a member: if it inflates whole, with the right checksum, to one good
-record). After a failed check the reader searches for the next version line or
+hold. A member may hold any number of records, and of a damaged one those are
+read that stand before the damage. After a failed check the reader searches for the next version line or
 member from which a good record can be read, goes on there, and logs the bytes
 between as a quarantined gap. Nothing that can be read is given up because of
 what stands before it.
@@ -109,52 +109,81 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     }, stop + 4
 
 
-def parse_member(data: bytes, at: int) -> tuple[dict, int]:
-    """The good record in the gzip member that begins at ``at`` and the place after the member."""
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the gzip member at ``at`` inflates to, the place after it, and what stopped it if it isn't whole."""
     inflate, pieces, stop, step = zlib.decompressobj(31), [], at, 1 << 12
-    try:
-        while not inflate.eof and stop < len(data):
+    while not inflate.eof and stop < len(data):
+        before = inflate.copy()
+        try:
             pieces.append(inflate.decompress(data[stop : stop + step]))
-            if len(pieces) == 1 and not pieces[0].startswith(VERSION[: len(pieces[0])]):
-                raise Bad("member holds no record")
-            stop, step = stop + step, min(2 * step, 1 << 20)
-    except zlib.error as e:
-        raise Bad(f"member does not inflate: {str(e)[:60]}") from None
+        except zlib.error as e:
+            try:  # again in small steps, for what stands before the damage
+                for i in range(stop, stop + step, 64):
+                    pieces.append(before.decompress(data[i : i + 64]))
+            except zlib.error:
+                pass
+            return b"".join(pieces), stop, f"member does not inflate: {str(e)[:60]}"
+        if len(pieces) == 1 and not pieces[0].startswith(VERSION[: len(pieces[0])]):
+            raise Bad("member holds no record")
+        stop, step = stop + step, min(2 * step, 1 << 20)
     if not inflate.eof:
-        raise Bad("member is cut off")
-    plain = b"".join(pieces)
-    record, end = parse_record(plain, 0)
-    if end != len(plain):
-        raise Bad("member holds more than a record")
-    return record, min(stop, len(data)) - len(inflate.unused_data)
+        return b"".join(pieces), stop, "member is cut off"
+    return b"".join(pieces), min(stop, len(data)) - len(inflate.unused_data), None
+
 
+def parse_member(data: bytes, at: int) -> tuple[list[tuple[dict | None, str | None]], int, str | None]:
+    """The good records in the gzip member that begins at ``at`` (a reason for each gap between them), the place after it, and its damage.
+
+    A member may hold any number of records, and a damaged one is read as far as it inflates.
+    """
+    plain, end, damage = _inflated(data, at)
+    found = [(record, f"in a member, {n} bytes at {place}: {reason}" if reason else None) for place, n, record, reason in salvage(plain, members=False)]
+    if damage and found and found[-1][1]:
+        found.pop()  # the end that the damage cut off
+    if not any(record for record, _ in found):
+        raise Bad(damage or "member holds no good record")
+    return found, end, damage
 
-def _parse(data: bytes, at: int) -> tuple[dict, int]:
-    return parse_member(data, at) if data.startswith(b"\x1f\x8b\x08", at) else parse_record(data, at)
 
+def _parse(data: bytes, at: int, members: bool) -> tuple[list[tuple[dict | None, str | None]], int, str | None]:
+    if members and data.startswith(b"\x1f\x8b\x08", at):
+        return parse_member(data, at)
+    record, end = parse_record(data, at)
+    return [(record, None)], end, None
 
-def _next(data: bytes, at: int) -> int:
+
+def _next(data: bytes, at: int, members: bool) -> int:
     """The next place from ``at`` where a version line or a member may begin."""
-    found = [x for x in (data.find(VERSION, at), data.find(b"\x1f\x8b\x08", at)) if x >= 0]
+    found = [x for x in (data.find(VERSION, at), data.find(b"\x1f\x8b\x08", at) if members else -1) if x >= 0]
     return min(found, default=len(data))
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
-    """(offset, length, record, None) for good records and (offset, length, None, reason) for gaps, in order."""
+def salvage(data: bytes, members: bool = True) -> Iterator[tuple[int, int, dict | None, str | None]]:
+    """(offset, length, record, None) for good records and (offset, length, None, reason) for gaps, in order.
+
+    The lengths add up to that of the data: of what a gzip member holds, the
+    first has the length of the member and the others have 0; records that are
+    read from a damaged member have 0, and its bytes are a gap.
+    """
     at, gap, why = 0, None, ""
     while at < len(data):
         try:
-            record, end = _parse(data, at)
+            found, end, damage = _parse(data, at, members)
         except Bad as e:
             if gap is None:
                 gap, why = at, str(e)
-            at = _next(data, at + 1)
+            at = _next(data, at + 1, members)
             continue
         if gap is not None:
             yield gap, at - gap, None, why
             gap = None
-        yield at, end - at, record, None
-        at = end
+        for i, (record, reason) in enumerate(found):
+            yield at, 0 if damage or i else end - at, record, reason
+        if damage:
+            gap, why = at, damage
+            at = _next(data, at + 1, members)
+        else:
+            at = end
     if gap is not None:
         yield gap, len(data) - gap, None, why
 

@@ -493,6 +493,25 @@ def test_headers_of_any_length_are_read(compress):
     assert all(r["target"] == "http://x/" + "long" * 25_000 + "%01" * 20_000 for _, _, r, _ in out)
 
 
+def test_members_of_many_records_and_damaged_ones():
+    made = []
+    for i in range(6):
+        body = b"body %d " % i * 400 + bytes(np.random.default_rng(i).integers(0, 256, 3000, dtype=np.uint8))
+        made.append(warc.record_bytes("response", f"<urn:{i}>", "http://x", body, warc.base32_sha1(body), len(body), None))
+    ids = lambda out: [r["record_id"] for _, _, r, _ in out if r]
+    whole = gzip.compress(b"".join(made))
+    out = list(warc.salvage(whole + whole))
+    assert ids(out) == [f"<urn:{i}>" for i in range(6)] * 2 and sum(n for _, n, _, _ in out) == 2 * len(whole)
+    out = list(warc.salvage(gzip.compress(made[0] + b"junk" + made[1][:-9] + b"x" + made[1][-8:] + made[2])))
+    assert ids(out) == ["<urn:0>", "<urn:2>"] and [bool(reason) for *_, reason in out] == [False, True, False]
+    hurt = bytearray(whole)
+    hurt[len(whole) * 2 // 3] ^= 255
+    for data in (bytes(hurt), whole[: len(whole) * 2 // 3]):
+        out = list(warc.salvage(data + gzip.compress(made[5])))
+        assert ids(out)[:3] == ["<urn:0>", "<urn:1>", "<urn:2>"] and ids(out)[-1] == "<urn:5>"
+        assert sum(n for _, n, _, _ in out) == len(data) + len(gzip.compress(made[5])) and any(reason for *_, reason in out)
+
+
 def test_media(spark, data):
     e = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").limit(30)
     images = shared.materialize(media.rendered(e), "i")
