@@ -12,10 +12,16 @@ the next by half, so that one band holds all of an occurrence. Bands that reach
 the bound are verified by banded alignment, so every reported passage does occur
 within the edit budget, and no occurrence is missed.
 
-The benchmark is taken in blocks of a bounded size, each sent to all tasks.
+A passage of more than ``LONGEST`` characters is searched in pieces of about that
+size, each with its own budget, and is found where one of its pieces is. If the
+whole occurs within the budget then so does at least one piece, so no occurrence
+is missed, and the cost of verifying stays in proportion to the passage.
 
-Defined results: null and empty texts have no hits; passages of fewer than
-``shortest`` characters in normal form (and null ones) aren't searched; equal
+The benchmark is taken in blocks of a bounded size, each sent to all tasks; a
+benchmark of n blocks costs n passes over the documents.
+
+Defined results: null and empty texts have no hits; passages without a q-gram in
+normal form (fewer than q characters, and null ones) aren't searched; equal
 passages are reported under each of their ids; repeated rows are reported as
 often as they occur; empty tables give no rows. Extra columns are ignored.
 """
@@ -33,6 +39,8 @@ from pyspark.sql import functions as F
 from .tokens import chunks, rows_of
 
 HITS = "doc_id long, item_id long, start long, end long, edits int"
+#: Characters of a passage that are verified at once, and postings that are counted at once.
+LONGEST, POSTINGS = 512, 1 << 22
 _PLANE = 1 << 16
 _tables: list[np.ndarray] = []
 
@@ -58,6 +66,12 @@ def normal_form(text: str) -> tuple[np.ndarray, np.ndarray]:
     return low[keep], np.flatnonzero(keep)
 
 
+def _trimmed(form: np.ndarray) -> np.ndarray:
+    """Without spaces at either end."""
+    inside = np.flatnonzero(form != 32)
+    return form[inside[0] : inside[-1] + 1] if len(inside) else form[:0]
+
+
 def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     """A hash of each q-gram; equal q-grams have equal ones."""
     small = (codes ^ codes >> 8).astype(np.uint64)
@@ -70,9 +84,9 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
 class Passages:
     """An index of passages: which q-grams they have where, and how many must be shared."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = 8, rate: float = 0.1, shortest: int = 32):
-        forms = [(i, normal_form(t.strip())[0]) for i, t in items if t]
-        self.items = [(i, f) for i, f in forms if len(f) >= max(q, shortest)]
+    def __init__(self, items: list[tuple[int, str]], q: int = 8, rate: float = 0.1):
+        forms = [(i, _trimmed(normal_form(t)[0])) for i, t in items if t]
+        self.items = [(i, part) for i, f in forms if len(f) >= q for part in np.array_split(f, -(-len(f) // LONGEST))]
         self.q = q
         self.size = np.array([len(f) for _, f in self.items], np.int64)
         # the bound n - k q of all n q-grams is at least 1
@@ -102,20 +116,40 @@ class Passages:
         same = self.grams[j] == grams[at] if len(self.grams) else np.zeros(0, bool)
         at, j = at[same], j[same]
         times = self.first[j + 1] - self.first[j]
-        posting = np.repeat(self.first[j] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-        owner, place = self.owner[posting], self.place[posting]
-        half = self.edits[owner] + 1
-        diagonal = np.repeat(at, times) - place + (1 << 20)
-        band = diagonal // half
-        key = np.concatenate([owner << 40 | band, owner << 40 | band - 1])  # band b holds [b * half, (b + 2) * half)
-        kinds, count = np.unique(key, return_counts=True)
+        kinds, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends, begin = np.cumsum(times), 0
+        while begin < len(at):  # a bounded number of postings at a time, however often a q-gram is repeated
+            done = ends[begin] - times[begin]
+            stop = max(begin + 1, int(np.searchsorted(ends, done + POSTINGS, "right")))
+            part = slice(begin, stop)
+            posting = np.repeat(self.first[j[part]] - (ends[part] - times[part] - done), times[part]) + np.arange(int(ends[stop - 1] - done))
+            owner = self.owner[posting]
+            band = (np.repeat(at[part], times[part]) - self.place[posting] + LONGEST) // (self.edits[owner] + 1)
+            some, n = np.unique(np.concatenate([owner << 40 | band, owner << 40 | band - 1]), return_counts=True)  # band b holds [b * half, (b + 2) * half)
+            kinds, inverse = np.unique(np.concatenate([kinds, some]), return_inverse=True)
+            count = np.bincount(inverse, np.concatenate([count, n]), len(kinds)).astype(np.int64)
+            begin = stop
         owner = kinds >> 40
         full = count >= self.bound[owner]
         owner, band = owner[full], (kinds & (1 << 40) - 1)[full]
-        return owner, band * (self.edits[owner] + 1) - (1 << 20)
+        return owner, band * (self.edits[owner] + 1) - LONGEST
+
+    def verify(self, codes: np.ndarray, owner: np.ndarray, diagonal: np.ndarray, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """The fewest edits of each candidate within its band, and where that alignment ends; candidates of like size together."""
+        best, end = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        order = np.argsort(self.size[owner], kind="stable")
+        widths = 4 * self.edits[owner[order]] + 3
+        i = 0
+        while i < len(order):
+            j = i + 1
+            while j < len(order) and (j - i) * widths[j] < cells and self.size[owner[order[j]]] <= 2 * self.size[owner[order[i]]]:
+                j += 1
+            some = order[i:j]
+            best[some], end[some] = self._aligned(codes, owner[some], diagonal[some])
+            i = j
+        return best, end
 
-    def verify(self, codes: np.ndarray, owner: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The fewest edits of each candidate within its band, and where that alignment ends."""
+    def _aligned(self, codes: np.ndarray, owner: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edits, size = self.edits[owner], self.size[owner]
         k = int(edits.max())
         width = 2 * (k + 1) + 2 * k + 1
@@ -155,7 +189,9 @@ def _hits(texts: list[str | None], passages: Passages) -> list[tuple[int, int, i
     breaks = np.flatnonzero(codes == 0)
     out: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for i, e, x in zip(owner.tolist(), best.tolist(), end.tolist(), strict=True):
-        out.setdefault((int(np.searchsorted(breaks, x - 1)), i), []).append((e, x))
+        # where the band cuts an alignment off, its end can lie past the text's; its middle can't
+        text = int(np.searchsorted(breaks, max(0, x - 1 - int(passages.size[i]) // 2)))
+        out.setdefault((text, i), []).append((e, min(x, int(breaks[text]) if text < len(breaks) else len(codes))))
     rows = []
     text_at = np.append(-1, where[breaks])
     for (text, i), found in out.items():
@@ -189,7 +225,7 @@ def _passages(block: tuple[str, list[tuple[int, str]]], options: tuple) -> Passa
     return _built[name, options]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, shortest: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, item_id, start, end, edits: each benchmark passage that a text holds within the edit budget.
 
     start and end are code-point places in the text (start as if no character
@@ -200,7 +236,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, s
         send = spark.sparkContext.broadcast(block)
 
         def task(batches: Iterator[pa.RecordBatch], send=send) -> Iterator[pa.RecordBatch]:
-            passages = _passages(send.value, (q, rate, shortest))
+            passages = _passages(send.value, (q, rate))
             rows = rows_of(batches)
             for chunk in chunks(rows, 1, 1 << 19):
                 found = _hits([t for _, t in chunk], passages)
@@ -214,14 +250,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, s
     return spark.createDataFrame([], HITS) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, shortest: int = 32, block_bytes: int = 4 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 8, rate: float = 0.1, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows whose text holds no passage, with all their columns; nothing is shuffled."""
     at = docs.columns.index("text")
     for block in _blocks(benchmark, block_bytes):
         send = docs.sparkSession.sparkContext.broadcast(block)
 
         def task(batches: Iterator[pa.RecordBatch], send=send) -> Iterator[pa.RecordBatch]:
-            passages = _passages(send.value, (q, rate, shortest))
+            passages = _passages(send.value, (q, rate))
             for b in batches:
                 rows = ((i, t) for i, (t,) in enumerate(rows_of([b.select([at])])))
                 bad = {chunk[i][0] for chunk in chunks(rows, 1, 1 << 19) for i, *_ in _hits([t for _, t in chunk], passages)}

@@ -273,6 +273,22 @@ def test_decontamination(spark, docs, none):
     assert decontam.hits(d, bench.limit(0)).count() == 0 and decontam.hits(none, bench).count() == 0
 
 
+def test_short_long_and_repeated_passages(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(200_000)]
+    whole = " ".join(words)  # 1.4 M characters
+    edited = list(whole)
+    for at in rng.choice(len(edited), 40_000, replace=False):
+        edited[at] = "z"
+    bench = spark.createDataFrame([(1, "the heron left at noon."), (2, whole), (3, "oh oh oh " * 40), (4, "tiny")], "item_id long, text string")
+    rows = [(1, "So: the HERON left, at noon!"), (2, "x " + "".join(edited)), (3, "oh " * 10_000), (4, "a tiny thing"), (5, "nothing of it"), (6, "and " + " ".join(words[1000:3000]) + " on")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.hits(d, bench).collect()} == {(1, 1), (2, 2), (3, 3), (6, 2)}
+    monkeypatch.setattr(decontam, "POSTINGS", 500)
+    p = decontam.Passages([(3, "oh oh oh " * 40), (1, "the heron left at noon.")])
+    assert {i for _, i, *_ in decontam._hits([t for _, t in rows[:1]] + ["oh " * 3000], p)} == {1, 3}
+
+
 def edit_distance(a, text):
     row = [0] * (len(text) + 1)
     for x in a:
@@ -318,7 +334,7 @@ def test_every_block_of_a_benchmark_is_searched(spark, monkeypatch):
     got = decontam.hits(d, bench, block_bytes=300).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(i, i) for i, _ in items]
     # a worker that is used again drops each block before it opens the next
-    searched = [i for block in sent for i, _ in decontam._passages(pickle.loads(block), (8, 0.1, 32)).items]
+    searched = [i for block in sent for i, _ in decontam._passages(pickle.loads(block), (8, 0.1)).items]
     assert len(sent) > 5 and sorted(searched) == [i for i, _ in items]
 
 
