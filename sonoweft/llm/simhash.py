@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .shared import materialize
+from .shared import fresh, materialize
 from .tokens import chunks, rows_of
 
 BITS = 64
@@ -170,11 +170,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 def keep_one(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``one_of_each`` keeps, by their doc_id, component_id, root and text_hash."""
     rows = rows.where("doc_id = component_id")
-    stay = rows.groupBy("doc_id", "root").agg(F.min("text_hash").alias("_hash")).select("doc_id", "_hash")
+    digest, nth = fresh(docs.columns, "_hash"), fresh(docs.columns, "_nth")
+    stay = rows.groupBy("doc_id", "root").agg(F.min("text_hash").alias(digest)).select("doc_id", digest)
     stay = materialize(stay.distinct(), "simhash-stay")
-    hashed = docs.where("doc_id IS NOT NULL").withColumn("_hash", F.xxhash64("text"))
-    same = Window.partitionBy("doc_id", "_hash").orderBy("doc_id")
-    once = hashed.join(stay, ["doc_id", "_hash"], "left_semi").withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
+    hashed = docs.where("doc_id IS NOT NULL").withColumn(digest, F.xxhash64("text"))
+    same = Window.partitionBy("doc_id", digest).orderBy("doc_id")
+    once = hashed.join(stay, ["doc_id", digest], "left_semi").withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1)
     return once.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 

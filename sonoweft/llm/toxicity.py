@@ -12,8 +12,9 @@ toxic text the window that scores highest so far, and from each clean text its
 highest and a random one; the first choice is by log-odds of words and n-grams,
 which also start one column of the vectors.
 
-Training uses a sample of at most ``sample`` labelled texts of each class,
-chosen by a hash of doc_id, and a fixed number of steps. Scoring covers all rows.
+Training uses a sample of at most ``sample`` labelled texts of each class (one of
+each doc_id, none above ``longest`` characters), chosen by a hash of doc_id, and a
+fixed number of steps. Scoring covers all rows.
 
 Defined results: null and empty texts have one window of padding and so the
 same score; a row with a null doc_id is scored and not held out; repeated rows
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
 from .tokens import chunks, rows_of
 
 WINDOW, STRIDE = 48, 32
@@ -331,26 +333,30 @@ def remainder(doc_id: str | Column, of: int) -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string").cast("binary")) % of
 
 
-def fit(docs: DataFrame, labels: DataFrame, held: int = 2, folds: int = 4, sample: int = 1500) -> Network:
-    """Learns ``labels.toxic`` from rows of ``docs`` outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, held: int = 2, folds: int = 4, sample: int = 1500, longest: int = 200_000) -> Network:
+    """Learns ``labels.toxic`` from rows of ``docs`` outside the held-out fold.
+
+    The driver gets at most ``sample`` texts of each class, one a doc_id, of at
+    most ``longest`` characters each.
+    """
     known = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(F.col("toxic").isin(0, 1) & (remainder("doc_id", folds) != held))
-    n = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    chosen = known.where(F.lit(False))
-    for y, count in n.items():
-        chosen = chosen.union(known.where((F.col("toxic") == y) & (share < min(1 << 20, int((sample << 20) / count)))))
-    one = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    rows = sorted(one.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
+    first = lambda y: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = F.broadcast(first(0).union(first(1)))
+    one = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(chosen, "doc_id")
+    rows = sorted(one.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
 _scorers: dict[int, Scorer] = {}
 
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with a column ``score``: the probability that the text is toxic."""
+def score(docs: DataFrame, net: Network, column: str = "score") -> DataFrame:
+    """``docs`` with a column that holds the probability that the text is toxic.
+
+    A column of that name that docs has already is replaced; ``shared.fresh`` finds a name that is free.
+    """
     send = docs.sparkSession.sparkContext.broadcast(net)
-    at = docs.columns.index("text")
+    at, made_name = docs.columns.index("text"), fresh(docs.columns, "_score")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if id(send.value) not in _scorers:
@@ -359,8 +365,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         scorer = _scorers[id(send.value)]
         for b in batches:
             made = [1 / (1 + np.exp(-scorer.texts([t for (t,) in chunk]).astype(np.float64))) for chunk in chunks(rows_of([b.select([at])]), 0, 1 << 19)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*made, np.zeros(0)]), pa.float64())], names=[*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([*made, np.zeros(0)]), pa.float64())], names=[*b.schema.names, made_name])
 
-    schema = docs.select("*").schema
-    out = docs.mapInArrow(task, schema.add("_score", "double"))
-    return out.withColumnRenamed("_score", "score") if "score" not in docs.columns else out.drop("score").withColumnRenamed("_score", "score")
+    out = docs.mapInArrow(task, docs.select("*").schema.add(made_name, "double"))
+    return out.drop(*[c for c in docs.columns if c.lower() == column.lower()]).withColumnRenamed(made_name, column)

@@ -603,6 +603,38 @@ def test_media_of_large_images_and_of_changed_corners(spark):
     assert [(r.query_id, r.image_id) for r in got] == [(1, 2)]
 
 
+def test_pipeline_stages_keep_clashing_columns_repeats_and_nulls(spark, data):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (7_000_001, None, None, None, 3), (7_000_002, LONG, "x", "y", 5), (7_000_002, LONG, "x", "y", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    extra = docs.unionByName(odd).withColumns({"score": F.col("n_chars") / 7, "_score": F.lit("s"), "_HASH": F.col("n_chars"), "_nth": F.lit(9), "fp": F.lit("f"), "root": F.lit(1), "key": F.lit("k"), "keep": F.lit(True), "Score_": F.lit(2)})
+    want = {tuple(r) for r in extra.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, data)
+        assert out.columns == extra.columns
+        rows = [tuple(r) for r in out.collect()]
+        assert set(rows) <= want and (None, None) in {r[:2] for r in rows}
+        if name == "near-duplicates":
+            assert len([r for r in rows if r[0] is not None]) == len({r[0] for r in rows} - {None})
+    pieces = corpus_pipeline.pack(spark, extra, data).collect()
+    assert len({(r.doc_id, r.piece) for r in pieces if r.doc_id is not None and r.doc_id < 7_000_000}) == len([r for r in pieces if r.doc_id is not None and r.doc_id < 7_000_000])
+    assert sum(r.doc_id == 7_000_002 and r.piece == 0 for r in pieces) == 2
+
+
+def test_training_collects_one_text_a_document(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i} of it") for i in range(400)] + [(50, "x" * 300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    seen = []
+    try:
+        original, toxicity.train = toxicity.train, lambda texts, y, *a: seen.append((texts, y)) or original(["a", "b"], [0, 0])
+        toxicity.fit(docs, labels, sample=10, longest=200)
+    finally:
+        toxicity.train = original
+    texts, y = seen[0]
+    assert y.count(0) <= 10 and y.count(1) <= 10 and len(texts) == len(y) > 5 and all(len(t) < 300 for t in texts)
+
+
 def test_pipeline_stages(spark, data):
     import corpus_pipeline
 
