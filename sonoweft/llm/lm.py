@@ -10,12 +10,20 @@ a walk that fails along the suffixes until an arc fits sums up to exactly P, and
 P sums to one over all words. Words have P(w) = (c + a) / (N + a * (V + 1)).
 
 Counts come from all training rows. The documents are cut into blocks of a
-bounded size. A block sends its distinct n-grams (hashed to 64 bits) with their
-training counts to the partition that owns the hash; that partition adds up and
-sends the totals back. So a block has just the part of the automaton that its
-own documents can reach, all of it, and no task holds the whole model. Each
-n-gram leaves a block once, however frequent it is. Hashes of different words
-are equal with a chance of about V * V / 2^65.
+bounded size, kept as hashed tokens in files of the shared folder. A block sends
+its distinct words and 2-grams (hashed to 64 bits) with their training counts to
+the partition that owns the hash; that partition adds up and sends the totals
+back. Longer n-grams follow, a round for each order, and only those whose first
+and last words but one occur in other blocks too: all others occur in their own
+block alone, so their totals are known there. So a block has just the part of the
+automaton that its own documents can reach, all of it, and no task holds the
+whole model. Each n-gram leaves a block once, however frequent it is. Hashes of
+different words are equal with a chance of about V * V / 2^65.
+
+A block makes one message a round for each partition that owns any of its
+n-grams. Partitions and blocks both grow with the data, so the messages of a
+block grow and get shorter, up to one n-gram each: their number never exceeds
+that of the n-grams that are sent.
 
 Defined results: a null or empty text has one token, the end; a row with a null
 doc_id trains and is not held out; repeated rows count as often as they occur;
@@ -26,23 +34,25 @@ probability 1 (a / a). Extra columns are ignored.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, new_path
+from .tokens import rows_of
 
 #: Hashes that stand for the start and the end of a text.
 START, END = np.uint64(1), np.uint64(2)
-BLOCKS = "block string, n_keys long, n_tokens long, docs binary, held binary, sizes binary, words binary, tokens binary"
-SENT = "part int, block string, level int, keys binary, counts binary"
-REPLY = "block string, part int, level int, totals binary, known long"
+BLOCKS = "block string, path string, offset long, length long, n_keys long, n_tokens long"
+SENT = "part int, block string, first long, keys binary, counts binary"
+REPLY = "block string, part int, first long, totals binary, known long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -128,15 +138,27 @@ class Automaton:
             self.arc.append(np.log10(p))
             self.fail.append(np.log10(strength / (total + strength)))
 
-    def walk(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """log10 probabilities: one pass from left to right over all texts side by side."""
+    def walk(self, tokens: np.ndarray, sizes: np.ndarray, piece: int = 512) -> np.ndarray:
+        """log10 probabilities: one pass from left to right over all texts side by side.
+
+        A long text is walked in pieces. A later piece begins as many tokens
+        early as a state can hold, which brings it into the state of that place.
+        """
         top = len(self.keys) - 1
-        order = np.argsort(-sizes, kind="stable")
-        first, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
-        score, state, level = np.zeros(len(sizes)), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-        state[:], level[:] = np.searchsorted(self.keys[0], START), min(1, top)  # each text starts in the state of its start
-        active = len(sizes) - np.searchsorted(length[::-1], np.arange(1, int(length.max(initial=0)) + 1))
+        many = -(-sizes // piece)
+        text = np.repeat(np.arange(len(sizes)), many)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        early = np.where(nth > 0, top, 0)
+        first = np.repeat(np.cumsum(sizes) - sizes, many) + nth * piece - early
+        length = np.minimum(piece, sizes[text] - nth * piece) + early
+        order = np.argsort(-length, kind="stable")
+        first, length, later = first[order], length[order], early[order] > 0
+        score, state, level = np.zeros(len(first)), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        state[~later], level[~later] = np.searchsorted(self.keys[0], START), min(1, top)  # each text starts in the state of its start
+        active = len(first) - np.searchsorted(length[::-1], np.arange(1, int(length.max(initial=0)) + 1))
         for t, n in enumerate(active):
+            if t == top:
+                score[later] = 0
             word = tokens[first[:n] + t]
             left = np.arange(n)
             for m in range(min(top, t + 1), 0, -1):
@@ -156,15 +178,34 @@ class Automaton:
             j = np.searchsorted(self.keys[0], word[left])
             score[left] += self.arc[0][j]
             state[left], level[left] = j, min(1, top)
-        out = np.empty(len(sizes))
-        out[order] = score
-        return out
+        return np.bincount(text[order], score, len(sizes))
+
+
+def _frame(arrays: list[np.ndarray]) -> bytes:
+    parts = [_packed(x) for x in arrays]
+    return np.array([len(parts), *map(len, parts)], "<i8").tobytes() + b"".join(parts)
+
 
+def _unframed(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.append(0, np.frombuffer(data, "<i8", n, 8)))
+    return [_unpacked(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
-def blocks(docs: DataFrame, held: Column, size: int = 1 << 24) -> DataFrame:
-    """Documents as hashed tokens, in blocks of about ``size`` characters of text each."""
 
-    def block(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
+
+
+def blocks(docs: DataFrame, held: Column, folder: str, size: int = 1 << 24) -> DataFrame:
+    """Writes documents as hashed tokens below ``folder``, in blocks of about ``size`` characters of text; returns where each block is.
+
+    Only blocks that the returned table names count: a task that is repeated writes under a new name.
+    """
+
+    def block(rows: list[tuple]) -> tuple[bytes, int, int]:
         cut = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for _, _, t in rows]
         words = list(set().union(*cut))
         hashes = np.fromiter((max(h, 3) for h in map(xxhash.xxh64_intdigest, words)), np.uint64, len(words))
@@ -176,31 +217,81 @@ def blocks(docs: DataFrame, held: Column, size: int = 1 << 24) -> DataFrame:
         inside[np.cumsum(sizes) - 1] = False
         tokens[inside] = np.fromiter(map(ids.__getitem__, chain.from_iterable(cut)), np.int64, len(tokens) - len(cut))
         known = np.array([d is not None for d, _, _ in rows], np.int64)
-        doc_ids = np.array([d or 0 for d, _, _ in rows], np.int64).view(np.uint64)
+        doc_ids = np.array([d or 0 for d, _, _ in rows], np.int64)
         held_out = np.array([bool(h) for _, h, _ in rows], np.int64)
-        row = (uuid.uuid4().hex, len(keys) + len(tokens), int(sizes[held_out == 0].sum()), _packed(np.concatenate([doc_ids, known.view(np.uint64)])), _packed(held_out), _packed(sizes), _packed(_steps(keys)), _packed(tokens))
-        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in BLOCKS.split(", ")])
+        return _frame([doc_ids, known, held_out, sizes, _steps(keys), tokens]), len(keys) + len(tokens), int(sizes[held_out == 0].sum())
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         rows, n = [], 0
-        for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows.append(row)
-                n += len(row[2] or "")
-                if n >= size:
-                    yield block(rows)
-                    rows, n = [], 0
+        for row in rows_of(batches):
+            rows.append(row)
+            n += len(row[2] or "")
+            if n >= size:
+                yield rows
+                rows, n = [], 0
         if rows:
-            yield block(rows)
+            yield rows
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, path, at, done = None, uuid.uuid4().hex, 0, []
+        for rows in cuts(batches):
+            if stream is None:
+                files, top = pafs.FileSystem.from_uri(folder)
+                files.create_dir(top, recursive=True)
+                stream = files.open_output_stream(f"{top}/{path}", compression=None)
+            data, n_keys, n_tokens = block(rows)
+            stream.write(data)
+            done.append((uuid.uuid4().hex, path, at, len(data), n_keys, n_tokens))
+            at += len(data)
+        if stream is not None:
+            stream.close()
+        yield _batch(BLOCKS, done)
 
     return docs.select("doc_id", held.alias("held"), "text").mapInArrow(task, BLOCKS)
 
 
-def _opened(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Grams]:
-    keys, sizes = _sums(_unpacked(row["words"])), _unpacked(row["sizes"]).astype(np.int64)
-    tokens = keys[_unpacked(row["tokens"]).astype(np.int64)]
-    return tokens, sizes, _unpacked(row["held"]) == 0, Grams(tokens, sizes, order)
+class Block:
+    """A block that is opened: its documents, tokens and n-grams, and the training counts of these."""
+
+    def __init__(self, folder: str, path: str, offset: int, length: int, order: int):
+        files, top = pafs.FileSystem.from_uri(folder)
+        with files.open_input_file(f"{top}/{path}") as file:
+            doc_ids, known, held, sizes, keys, tokens = _unframed(file.read_at(length, offset))
+        self.doc_ids, self.known, self.trains = doc_ids.view(np.int64), known == 1, held == 0
+        self.sizes = sizes.astype(np.int64)
+        self.tokens = _sums(keys)[tokens.astype(np.int64)]
+        self.grams = Grams(self.tokens, self.sizes, order)
+        self.own = self.grams.counts(self.trains)
+
+    def shared(self, k: int, totals: list[np.ndarray]) -> np.ndarray:
+        """Which n-grams of level k >= 2 other blocks may have: those whose two parts they have."""
+        elsewhere = totals[k - 1] > self.own[k - 1]
+        where = np.flatnonzero(self.grams.at[k] >= 0)
+        one = np.empty(len(self.grams.keys[k]), np.int64)
+        one[self.grams.at[k][where]] = where
+        return elsewhere[self.grams.at[k - 1][one - 1]] & elsewhere[self.grams.at[k - 1][one]]
+
+    def messages(self, levels: list[tuple[np.ndarray, np.ndarray]], parts: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(part, keys of the first level, keys, counts) for each partition that owns any of the (keys, counts)."""
+        at = [_parts(keys, parts) for keys, _ in levels]
+        for p in range(parts):
+            some = [(keys[a[p] : a[p + 1]], counts[a[p] : a[p + 1]]) for a, (keys, counts) in zip(at, levels, strict=True)]
+            if any(len(keys) for keys, _ in some):
+                yield p, len(some[0][0]), _packed(np.concatenate([_steps(keys) for keys, _ in some])), _packed(np.concatenate([counts for _, counts in some]))
+
+    def totals(self, rounds: list[list[dict]]) -> list[np.ndarray]:
+        """The totals of every level from the replies of each round."""
+        out: list[np.ndarray] = []
+        for k, replies in enumerate(rounds):
+            got = [(r["first"], _unpacked(r["totals"]).astype(np.int64)) for r in sorted(replies, key=lambda r: r["part"])]
+            first = np.concatenate([x[:n] for n, x in got] or [np.zeros(0, np.int64)])
+            if k == 0:
+                out += [first, np.concatenate([x[n:] for n, x in got])][: len(self.grams.keys)]
+            else:
+                level = self.own[len(out)].copy()
+                level[self.shared(len(out), out)] = first
+                out.append(level)
+        return out
 
 
 def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -208,64 +299,82 @@ def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
 
-def score(docs: DataFrame, held: Column, order: int = 2, add: float = 0.1, strength: float = 4.0, block_size: int = 1 << 23) -> DataFrame:
+def _add_up(group: pa.Table) -> pa.Table:
+    """The replies of one partition: the totals of each message's n-grams, and how many words are known."""
+    rows = group.to_pylist()
+    found, word = [], []
+    for r in rows:
+        steps = _unpacked(r["keys"])
+        found += [_sums(steps[: r["first"]]), _sums(steps[r["first"] :])]
+        word.append(np.arange(len(steps)) < r["first"])
+    keys, at = np.unique(np.concatenate(found), return_inverse=True)
+    del found
+    totals = np.bincount(at, np.concatenate([_unpacked(r["counts"]) for r in rows])).astype(np.int64)
+    is_word = np.zeros(len(keys), bool)
+    is_word[at[np.concatenate(word)]] = True
+    known = int((is_word & (totals > 0) & (keys != START)).sum())
+    out, begin = [], 0
+    for r, mine in zip(rows, word, strict=True):
+        out.append((r["block"], r["part"], r["first"], _packed(totals[at[begin : begin + len(mine)]]), known))
+        begin, known = begin + len(mine), 0
+    return pa.Table.from_batches([_batch(REPLY, out)])
+
+
+def score(docs: DataFrame, held: Column, order: int = 3, add: float = 0.1, strength: float = 4.0, block_size: int = 1 << 23) -> DataFrame:
     """Scores every text; rows where ``held`` is true do not train."""
     spark = docs.sparkSession
-    held = F.coalesce(held, F.lit(False))
-    table = materialize(blocks(docs, held, block_size), "lm-blocks")
+    held, folder = F.coalesce(held, F.lit(False)), new_path(spark, "lm-tokens")
+    table = materialize(blocks(docs, held, folder, block_size), "lm-blocks")
     keys, n = table.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffles, order * keys // 2_000_000)
+    parts = max(shuffles, keys // 2_000_000)
+    opened = lambda row, k: Block(folder, row["path"], row["offset"], row["length"], k)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in chain.from_iterable(b.to_pylist() for b in batches):
-            _, _, trains, grams = _opened(row, order)
-            rows = []
-            for k, (keys, counts) in enumerate(zip(grams.keys, grams.counts(trains), strict=True)):
-                at = _parts(keys, parts)
-                for p in range(parts):
-                    if at[p] < at[p + 1]:
-                        part = slice(at[p], at[p + 1])
-                        rows.append((p, row["block"], k, _packed(_steps(keys[part])), _packed(counts[part])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=[f.split()[0] for f in SENT.split(", ")])
-
-    def add_up(group: pa.Table) -> pa.Table:
-        out = []
-        rows = group.to_pylist()
-        for level in sorted({r["level"] for r in rows}):
-            some = [r for r in rows if r["level"] == level]
-            found = [_sums(_unpacked(r["keys"])) for r in some]
-            keys, at = np.unique(np.concatenate(found), return_inverse=True)
-            totals = np.bincount(at, np.concatenate([_unpacked(r["counts"]) for r in some])).astype(np.int64)
-            known = int(((totals > 0) & (keys != START)).sum()) if level == 0 else 0
-            for r, some_at in zip(some, np.split(totals[at], np.cumsum([len(f) for f in found])[:-1]), strict=True):
-                out.append((r["block"], r["part"], level, _packed(some_at), known))
-                known = 0
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64()], strict=True)], names=[f.split()[0] for f in REPLY.split(", ")])
-
-    sent = table.repartition(max(1, shuffles), "block").mapInArrow(send, SENT)
-    reply = materialize(sent.groupBy("part").applyInArrow(add_up, REPLY), "lm-totals")
-    v = reply.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-
-    def walk(_, block: pa.Table, totals: pa.Table) -> pa.Table:
-        row = block.to_pylist()[0]
-        tokens, sizes, trains, grams = _opened(row, order)
-        back = sorted(totals.to_pylist(), key=lambda r: (r["level"], r["part"]))
-        found = [np.concatenate([_unpacked(r["totals"]) for r in back if r["level"] == k]).astype(np.int64) for k in range(order)]
-        states = Automaton(grams, found, n, v, add, strength)
-        of_token = np.searchsorted(grams.keys[0], tokens)
-        starts = np.cumsum(sizes) - sizes
-        ids = _unpacked(row["docs"])
-        doc_ids, known = ids[: len(sizes)].view(np.int64), ids[len(sizes) :] == 1
+            block = opened(row, min(order, 2))
+            yield _batch(SENT, [(p, row["block"], *rest) for p, *rest in block.messages(list(zip(block.grams.keys, block.own, strict=True)), parts)])
+
+    def longer(k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+        def send(_, block: pa.Table, replies: pa.Table) -> pa.Table:
+            row = block.to_pylist()[0]
+            block = opened(row, k + 1)
+            some = block.shared(k, block.totals(_by_round(replies, k - 1)))
+            sent = block.messages([(block.grams.keys[k][some], block.own[k][some])], parts)
+            return pa.Table.from_batches([_batch(SENT, [(p, row["block"], *rest) for p, *rest in sent])])
+
+        return send
+
+    tasks = table.repartition(max(1, shuffles), "block")
+    replies = materialize(tasks.mapInArrow(send, SENT).groupBy("part").applyInArrow(_add_up, REPLY), "lm-totals")
+    v = replies.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
+    replies = replies.withColumn("round", F.lit(0))
+    for k in range(2, order):
+        sent = table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(longer(k), SENT)
+        back = materialize(sent.groupBy("part").applyInArrow(_add_up, REPLY), "lm-totals")
+        replies = replies.union(back.withColumn("round", F.lit(k - 1)))
+
+    def walk(_, block: pa.Table, replies: pa.Table) -> pa.Table:
+        block = opened(block.to_pylist()[0], order)
+        found = block.totals(_by_round(replies, max(1, order - 1)))
+        states = Automaton(block.grams, found, n, v, add, strength)
+        of_token = np.searchsorted(block.grams.keys[0], block.tokens)
+        starts = np.cumsum(block.sizes) - block.sizes
         columns = [
-            pa.array(doc_ids, pa.int64(), mask=~known),
-            pa.array(~trains),
-            pa.array(sizes, pa.int64()),
+            pa.array(block.doc_ids, pa.int64(), mask=~block.known),
+            pa.array(~block.trains),
+            pa.array(block.sizes, pa.int64()),
             pa.array(np.add.reduceat((found[0][of_token] > 0).astype(np.int64), starts), pa.int64()),
-            pa.array(np.full(len(sizes), n), pa.int64()),
+            pa.array(np.full(len(starts), n), pa.int64()),
             pa.array(np.add.reduceat(states.arc[0][of_token], starts), pa.float64()),
-            pa.array(states.walk(tokens, sizes), pa.float64()),
+            pa.array(states.walk(block.tokens, block.sizes), pa.float64()),
         ]
         return pa.table(columns, names=[f.split()[0] for f in SCORED.split(", ")])
 
-    return table.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(walk, SCORED)
+    return table.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(walk, SCORED)
+
+
+def _by_round(replies: pa.Table, rounds: int) -> list[list[dict]]:
+    """The replies of each round; one in which a block had nothing to ask has none."""
+    rows = replies.to_pylist()
+    return [[r for r in rows if r["round"] == k] for k in range(rounds)]

@@ -340,7 +340,7 @@ def test_every_block_of_a_benchmark_is_searched(spark, monkeypatch):
 
 def test_language_model(spark, docs, none):
     held = toxicity.remainder("doc_id", 10) == 0
-    for order in (1, 2, 3):
+    for order in (1, 2, 3, 4):
         got = lm.score(docs, held, order=order, block_size=2000).collect()
         assert len(got) == len(ROWS)
         is_held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 10 == 0
