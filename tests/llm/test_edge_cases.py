@@ -545,6 +545,46 @@ def test_media(spark, data):
     assert media.copies(table.limit(0), first).count() == 0
 
 
+def _agreeing(q, x, pairs):
+    bins = {}
+    for i, j in pairs:
+        a, scale = (x[j][3] - q[i][3]) % media.TURNS, 2 ** ((x[j][2] - q[i][2]) / 2)
+        c, s = math.cos(a * 2 * math.pi / media.TURNS), math.sin(a * 2 * math.pi / media.TURNS)
+        where = (a / 4, (x[j][0] - scale * (c * q[i][0] - s * q[i][1])) / 16, (x[j][1] - scale * (s * q[i][0] + c * q[i][1])) / 16)
+        for shift in np.ndindex(2, 2, 2):
+            bins.setdefault((x[j][2] - q[i][2], shift, *(math.floor(w + h / 2) for w, h in zip(where, shift))), set()).add(i)
+    return max(map(len, bins.values()), default=0)
+
+
+def test_media_recall_against_brute_force(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    images = {r.image_id: media.decode(bytes(r.image)) for r in media.rendered(e).collect()}
+    rng, queries = np.random.default_rng(1), {}
+    for k in [k for k in images if k % 100 == 0]:
+        p = images[k]
+        h, w = p.shape
+        crop = p[h // 10 : h - h // 12, w // 12 : w - w // 10]
+        made = [crop * 0.85 + 20, np.rot90(crop), np.rot90(p, 2), p * 0.6 + 60, p + rng.normal(0, 4, p.shape), p[20:110, 20:110], media._shrunk(p, 2**-0.5), media._shrunk(p, 0.85)]
+        queries |= {k * 10 + i: np.ascontiguousarray(np.clip(x, 0, 255)) for i, x in enumerate(made)}
+    table, asked = {k: media.describe(p) for k, p in images.items()}, {k: media.describe(p) for k, p in queries.items()}
+    kind = "image_id long, corner int, x float, y float, level int, turn int, d0 long, d1 long"
+    frame = lambda of: spark.createDataFrame([(k, c, *p) for k, points in of.items() for c, p in enumerate(points)], kind)
+    got = {(r.query_id, r.image_id) for r in media.search(frame(asked), frame(table)).collect()}
+    words = lambda points: np.array([p[4:] for p in points], np.int64).reshape(-1, 2).view(np.uint64)
+    every, owner = words([p for points in table.values() for p in points]), np.repeat(list(table), [len(x) for x in table.values()])
+    place = np.concatenate([np.arange(len(x)) for x in table.values()])
+    want = set()
+    for k, q in asked.items():
+        i, j = np.nonzero(np.bitwise_count(words(q)[:, None] ^ every).sum(2) <= media.NEAR)
+        for image in np.unique(owner[j]):
+            here = owner[j] == image
+            if _agreeing(q, table[int(image)], zip(i[here].tolist(), place[j[here]].tolist())) >= 4:
+                want.add((k, int(image)))
+    copies = {(k, k // 10) for k in asked}
+    print(f"copies: {len(copies & got)} of {len(copies)}; all pairs: {len(want & got)} of {len(want)}")
+    assert len(copies & got) >= 0.9 * len(copies) and len(want & got) >= 0.9 * len(want)
+
+
 def test_near_duplicate_stage_equals_brute_force(spark, data, docs, none):
     import corpus_pipeline
 
