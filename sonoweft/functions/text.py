@@ -6,24 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Marks cut off both ends of a word (fixed values).
-EDGE_MARKS = r"""!"#$%&()*+,./:;<=>?@[\]^_`{|}~¡¿«»“”„…–—"""
+EDGE_MARKS = "、。।，？！!@<>→\"”()“„–,.:;—¿?¡：）|؟\\&%#*،~【】，…‥「」『』〝〟″⟨⟩♪・‚‘‹›«»～′$+=‘۔―"
 
-#: Marks that may stand inside or at the start of a word; a word of only these is empty (fixed values).
-CLITIC_MARKS = "'’‘-"
+#: Marks that stay inside a word; a word of only these is empty (fixed values).
+CLITIC_MARKS = "'’‘"
 
 #: Position tags of a phone: begin, inside, end, single (fixed values).
 TAGS = ("_B", "_I", "_E", "_S")
 
 
-def _class(marks: str) -> str:
-    return "[" + "".join("\\" + m if m in r"\[]^-&~" else m for m in marks) + "]"
-
-
 def normalize_word(word: Column) -> Column:
     """Lower case, without edge marks; empty if only clitic marks are left."""
-    edge = _class(EDGE_MARKS)
-    bare = F.regexp_replace(F.lower(word), f"^{edge}+|{edge}+$", "")
-    return F.when(bare.rlike(f"^{_class(CLITIC_MARKS)}*$"), "").otherwise(bare)
+    bare = F.btrim(F.lower(word), F.lit(EDGE_MARKS))
+    return F.when(F.translate(bare, CLITIC_MARKS, "") == "", "").otherwise(bare)
 
 
 def strip_variant(word: Column) -> Column:
@@ -60,6 +55,16 @@ def parent_folder(path: Column) -> Column:
     return F.when(path.contains("/"), F.element_at(F.split(path, "/"), -2)).otherwise("speaker")
 
 
+def speaker_name(path: Column, source: str | int = "folder") -> Column:
+    """The speaker of a path: its ``folder``, the first n characters of the file's stem, or one for all (``single``)."""
+    if source == "folder":
+        return parent_folder(path)
+    if source == "single":
+        return F.lit("speaker")
+    stem = without_extension(F.element_at(F.split(path, "/"), -1))
+    return F.when(F.lit(int(source)) > 0, F.substring(stem, 1, int(source))).otherwise(stem)
+
+
 def without_extension(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[^./]*$", "")
 

@@ -72,8 +72,12 @@ def compared(a: DataFrame, b: DataFrame, keys: list[str], time: str) -> DataFram
 
 
 def tolerances(differences: DataFrame, limits: list[float], keys: list[str], digits: int = 6) -> DataFrame:
-    """Per key: n, the share within each limit, median and mean difference."""
-    shares = [F.round(F.avg((F.col("difference") <= x).cast("double")), digits).alias(f"within_{x:g}".replace(".", "_")) for x in limits]
-    return differences.groupBy(*keys).agg(
-        F.count("*").alias("n"), *shares, F.round(F.percentile("difference", F.lit(0.5)), digits).alias("median"), F.round(F.avg("difference"), digits).alias("mean")
-    )
+    """Per key: n, the share within each limit, median and mean difference.
+
+    Equal differences are counted before they meet, so a key with most of the
+    rows costs as much as it has different values; round them beforehand.
+    """
+    each = differences.where("difference IS NOT NULL").groupBy(*keys, "difference").agg(F.count("*").alias("_n"))
+    share = lambda c: F.round(F.sum(c * F.col("_n")) / F.sum("_n"), digits)
+    shares = [share((F.col("difference") <= x).cast("double")).alias(f"within_{x:g}".replace(".", "_")) for x in limits]
+    return each.groupBy(*keys).agg(F.sum("_n").alias("n"), *shares, F.round(F.percentile("difference", F.lit(0.5), F.col("_n")), digits).alias("median"), share(F.col("difference")).alias("mean"))

@@ -5,8 +5,10 @@ Every window is within one utterance, so utterances spread over tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,20 +80,23 @@ def shortest(utts: DataFrame, size: str, key: str, n: int) -> DataFrame:
 def greedy_chunks(utts: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
     """Chunk numbers within each group: a chunk ends before the utterance that would exceed the limit.
 
-    The fold keeps one pair of numbers per utterance; a group is folded in one
-    place because each cut depends on the one before it.
+    Each cut depends on the one before it, so the rows of a group pass through
+    one task in order; of a group only the running chunk is held.
     """
-    rows = utts.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(order, F.col(size).cast("long").alias("n")))).alias("u"))
-    kind = f"struct<chunk:int,held:bigint,out:array<struct<{order}:bigint,chunk:int>>>"
-    start = F.from_json(F.lit('{"chunk":0,"held":0,"out":[]}'), kind)
-
-    def step(s: Column, x: Column) -> Column:
-        cut = (s["held"] > 0) & (s["held"] + x["n"] > limit)
-        chunk = F.when(cut, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(
-            chunk.alias("chunk"),
-            (F.when(cut, F.lit(0)).otherwise(s["held"]) + x["n"]).cast("long").alias("held"),
-            F.concat(s["out"], F.array(F.struct(x[order].alias(order), chunk.alias("chunk")))).alias("out"),
-        )
-
-    return rows.select(group, F.explode(F.aggregate("u", start, step)["out"]).alias("o")).select(group, f"o.{order}", "o.chunk")
+    rows = utts.select(group, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("n")).repartition(group).sortWithinPartitions(group, order)
+    schema = rows.select(group, order).schema.add("chunk", "integer")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, chunk, held = object(), 0, 0
+        for b in batches:
+            chunks = []
+            for name, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if name != now:
+                    now, chunk, held = name, 0, 0
+                elif held > 0 and held + n > limit:
+                    chunk, held = chunk + 1, 0
+                held += n
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chunks, pa.int32())], names=[group, order, "chunk"])
+
+    return rows.mapInArrow(fold, schema)

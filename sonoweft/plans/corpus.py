@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import numbers, text
 from ..operators import lexicon, sequences
-from .inputs import WORDS_SQL, table, vocabulary, words
+from .inputs import WORDS_SQL, table, vocabulary, word_counts, words
 
 
 def lexicon_oov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.unknown_words(words(spark, sf_dir), vocabulary(spark, sf_dir))
+    return lexicon.unknown_words(word_counts(spark, sf_dir), vocabulary(spark, sf_dir))
 
 
 LEXICON_OOV = f"WITH {WORDS_SQL} SELECT word, count(*) AS n FROM words ANTI JOIN vocabulary USING (word) GROUP BY word"
@@ -47,7 +48,7 @@ SELECT word, pos, substr(word, pos + 1, 1) || CASE WHEN length(word) = 1 THEN '_
 
 def phone_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of all transcripts against those of the vocabulary: what a remap would find missing."""
-    used = words(spark, sf_dir).select(F.explode(F.split("word", "")).alias("symbol")).where("symbol <> ''")
+    used = word_counts(spark, sf_dir).select(F.explode(F.split("word", "")).alias("symbol")).where("symbol <> ''")
     known = vocabulary(spark, sf_dir).select(F.explode("phones").alias("symbol")).distinct()
     return lexicon.missing_symbols(used, known, "symbol")
 
@@ -59,8 +60,6 @@ SELECT DISTINCT symbol FROM (SELECT unnest(string_split(word, '')) AS symbol FRO
 
 def symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols with ids by sort order; 0 is kept for epsilon."""
-    from pyspark.sql.window import Window
-
     s = vocabulary(spark, sf_dir).select(F.explode("phones").alias("sym")).distinct()
     return s.select("sym", F.row_number().over(Window.orderBy("sym")).cast("long").alias("id")).union(spark.range(1).select(F.lit("<eps>"), F.col("id")))
 
@@ -193,16 +192,18 @@ SCATTER_RESULTS = """SELECT u.user_id, d.aligned FROM (SELECT DISTINCT user_id F
 
 
 def align_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source: utterances, aligned, seconds of audio, and the failed ones in order."""
+    """Per source: utterances, aligned, seconds of audio, and the first ten failed ones in order."""
     d = table(spark, sf_dir, "documents").withColumn("failed", F.col("n_chars") < 200)
-    return d.groupBy("source").agg(
-        F.count("*").alias("utterances"), F.sum((~F.col("failed")).cast("long")).alias("aligned"), numbers.rounded(F.sum("n_chars") * 0.01).alias("seconds"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("failed"), F.col("doc_id")))), lambda x: x.cast("string")), ",").alias("failed_ids"),
-    )
+    sums = d.groupBy("source").agg(F.count("*").alias("utterances"), F.sum((~F.col("failed")).cast("long")).alias("aligned"), numbers.rounded(F.sum("n_chars") * 0.01).alias("seconds"))
+    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    first = d.where("failed").select("source", "doc_id", nth.alias("nth")).where("nth <= 10").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    out = sums.join(first.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left")
+    return out.select("source", "utterances", "aligned", "seconds", F.coalesce(F.array_join(F.transform("ids", lambda x: x.cast("string")), ","), F.lit("")).alias("failed_ids"))
 
 
-ALIGN_SUMMARY = """SELECT source, count(*) AS utterances, count(*) FILTER (n_chars >= 200) AS aligned, round(sum(n_chars) * 0.01e0, 6) AS seconds,
-coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (n_chars < 200), '') AS failed_ids FROM documents GROUP BY source"""
+ALIGN_SUMMARY = """WITH d AS (SELECT *, row_number() OVER (PARTITION BY source, n_chars < 200 ORDER BY doc_id) AS nth FROM documents)
+SELECT source, count(*) AS utterances, count(*) FILTER (n_chars >= 200) AS aligned, round(sum(n_chars) * 0.01e0, 6) AS seconds,
+coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (n_chars < 200 AND nth <= 10), '') AS failed_ids FROM d GROUP BY source"""
 
 
 def variant_words(spark: SparkSession, sf_dir: str) -> DataFrame:

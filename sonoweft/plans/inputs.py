@@ -39,12 +39,25 @@ SPANS_SQL = """spans AS (
 )"""
 
 
+def raw_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as transcripts: doc_id, pos, raw (as written)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r]+")).alias("pos", "raw"))
+    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), "raw")
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as transcripts: doc_id, pos, word (normalised, nonempty)."""
     from ..functions.text import normalize_word
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "[ \t\n\r]+")).alias("pos", "word"))
-    return d.select("doc_id", F.col("pos").cast("long").alias("pos"), normalize_word(F.col("word")).alias("word")).where("word <> ''")
+    return raw_words(spark, sf_dir).select("doc_id", "pos", normalize_word(F.col("raw")).alias("word")).where("word <> ''")
+
+
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, n: raw words are counted before they are normalised, so each distinct one is treated once."""
+    from ..functions.text import normalize_word
+
+    raw = raw_words(spark, sf_dir).groupBy("raw").agg(F.count("*").alias("n"))
+    return raw.select(normalize_word(F.col("raw")).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +68,15 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", F.lit(0).alias("pron_idx"), F.filter(F.split("word", ""), lambda c: c != "").alias("phones"))
 
 
+#: The marks at the edges of a word, for SQL (fixed values).
+EDGE_SQL = "、。।，？！!@<>→\"”()“„–,.:;—¿?¡：）|؟\\&%#*،~【】，…‥「」『』〝〟″⟨⟩♪・‚‘‹›«»～′$+=‘۔―"
 
 
 def _normal(word: str) -> str:
-    bare = f"regexp_replace(lower({word}), '^[{EDGE_SQL}]+|[{EDGE_SQL}]+$', '', 'g')"
-    return f"CASE WHEN regexp_full_match({bare}, '[''’‘-]*') THEN '' ELSE {bare} END"
+    bare = f"trim(lower({word}), '{EDGE_SQL}')"
+    return f"CASE WHEN translate({bare}, '''’‘', '') = '' THEN '' ELSE {bare} END"
 
 
-EDGE_SQL = r"""!"#$%&()*+,./:;<=>?@\[\\\]\^_`{|}~¡¿«»“”„…–—"""
 WORDS_SQL = f"""words AS (
   SELECT doc_id, pos, word FROM (
     SELECT doc_id, pos, {_normal("raw")} AS word FROM (

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extension, parent_folder, without_extension
+from ..functions.text import extension, speaker_name, without_extension
 
 #: Extensions in order of preference (fixed values).
-AUDIO = ("wav", "flac", "mp3", "ogg", "opus", "m4a", "aif", "aiff")
+AUDIO = ("wav", "flac", "mp3", "ogg", "opus", "m4a", "aiff", "aif")
 TRANSCRIPTS = ("lab", "txt", "textgrid")
 
 
@@ -23,7 +23,7 @@ def _preference(ext: Column, kinds: tuple[str, ...]) -> Column:
     return F.array_position(F.array(*map(F.lit, kinds)), ext)
 
 
-def paired(files: DataFrame) -> DataFrame:
+def paired(files: DataFrame, speaker: str | int = "folder") -> DataFrame:
     """id (path without extension), audio, transcript and speaker; a file without its counterpart keeps null.
 
     Of several audio files or transcripts of one id the first by kind, then path, is taken.
@@ -31,12 +31,12 @@ def paired(files: DataFrame) -> DataFrame:
     f = files.select("path", without_extension(F.col("path")).alias("id"), extension(F.col("path")).alias("ext"))
     pick = lambda kinds: F.min(F.when(F.col("ext").isin(*kinds), F.struct(_preference(F.col("ext"), kinds).alias("k"), "path")))["path"]
     out = f.groupBy("id").agg(pick(AUDIO).alias("audio"), pick(TRANSCRIPTS).alias("transcript")).where("audio IS NOT NULL OR transcript IS NOT NULL")
-    return out.withColumn("speaker", parent_folder(F.col("id")))
+    return out.withColumn("speaker", speaker_name(F.coalesce("audio", "transcript"), speaker))
 
 
-def scanned(spark: SparkSession, folder: str) -> DataFrame:
+def scanned(spark: SparkSession, folder: str, speaker: str | int = "folder") -> DataFrame:
     """The utterances of a folder with audio and transcript, by id; raises if there is none."""
-    out = paired(listed(spark, folder)).where("audio IS NOT NULL AND transcript IS NOT NULL").orderBy("id")
+    out = paired(listed(spark, folder), speaker).where("audio IS NOT NULL AND transcript IS NOT NULL").orderBy("id")
     if out.isEmpty():
         raise ValueError(f"no audio with a transcript below {folder}")
     return out

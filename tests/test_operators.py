@@ -16,7 +16,7 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize("word, want", [("Hello,", "hello"), ("...", ""), ("O'NEILL", "o'neill"), ("--", ""), ("(x)", "x"), ("'", "")])
+@pytest.mark.parametrize("word, want", [("Hello,", "hello"), ("...", ""), ("O'NEILL", "o'neill"), ("--", "--"), ("(x)", "x"), ("'", ""), ('"quoted".', "quoted"), ("don't", "don't"), ("。x、", "x"), ("/x]", "/x]"), ("’‘'", "")])
 def test_normalize_word(spark, word, want):
     assert one(spark, text.normalize_word(F.col("w")), w=word) == want
 
@@ -33,6 +33,11 @@ def test_tags_are_undone(spark):
     assert one(spark, F.transform("p", text.untag_phone), p=tagged) == ["HH", "AH", "L", "OW"]
 
 
+def test_speaker_names(spark):
+    for source, want in (("folder", "c"), (5, "LJ001"), (99, "LJ001-0001"), (0, "LJ001-0001"), ("single", "speaker")):
+        assert one(spark, text.speaker_name(F.col("p"), source), p="a/c/LJ001-0001.wav") == want
+
+
 def test_phone_words(spark):
     assert one(spark, text.phone_words(F.col("s")), s="HH AH | L OW  B") == [["HH", "AH"], ["L", "OW"], ["B"]]
     assert one(spark, text.phone_words(F.col("s")), s="a b a") == [["a"], ["b"], ["a"]]
