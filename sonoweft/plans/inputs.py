@@ -53,11 +53,15 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """word, n: raw words are counted before they are normalised, so each distinct one is treated once."""
+    """word, n: raw words are counted before they are normalised, so each distinct one is treated once.
+
+    The word is made to depend on the count, or the filter on it would be pushed
+    below the count and normalise every occurrence.
+    """
     from ..functions.text import normalize_word
 
     raw = raw_words(spark, sf_dir).groupBy("raw").agg(F.count("*").alias("n"))
-    return raw.select(normalize_word(F.col("raw")).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    return raw.select(F.when(F.col("n") > 0, normalize_word(F.col("raw"))).alias("word"), "n").where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
