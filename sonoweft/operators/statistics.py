@@ -21,6 +21,19 @@ def moments(frames: DataFrame, keys: list[str], vector: str, dim: int, weight: C
     )
 
 
+def smoothed(stats: DataFrame, tau: float) -> DataFrame:
+    """Moments with ``tau`` more counts of their own average; a key without counts stays as it is."""
+    more = F.when(F.col("n") == 0, 1.0).otherwise(1 + tau / F.col("n"))
+    scaled = {c: F.transform(c, lambda s: s * F.col("_more")) for c in ("sx", "sxx")}
+    return stats.withColumn("_more", more).withColumns(scaled | {"n": F.col("n") * F.col("_more")}).drop("_more")
+
+
+def smoothed_with_model(stats: DataFrame, tau: float) -> DataFrame:
+    """Moments with ``tau`` more counts of a model's Gaussian, by columns ``mean`` and ``square`` (of x^2) of each row."""
+    add = lambda c, m: F.zip_with(c, m, lambda s, v: s + tau * v)
+    return stats.withColumns({"sx": add("sx", "mean"), "sxx": add("sxx", "square"), "n": F.col("n") + tau}).drop("mean", "square")
+
+
 def by_dimension(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Moments as rows: keys, n, dim, mean, var."""
     rows = stats.select(*keys, "n", F.posexplode(F.arrays_zip("sx", "sxx")).alias("dim", "s"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, corpus, signal, training
+from . import alignment, corpus, signal, training, transition
 
-MODULES = (corpus, signal, alignment, training)
+MODULES = (corpus, signal, alignment, training, transition)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
