@@ -85,13 +85,13 @@ def affine_k(frames: DataFrame, speaker: str, pdf: str, vector: str, dim: int, m
     """fMLLR statistics per speaker and dimension: beta and k_i = sum of mean_i / var_i * (x, 1).
 
     ``models`` has (pdf, mean, var); one Gaussian per pdf here, so each frame
-    has weight 1.
+    has weight 1. The frames are added up per speaker and pdf before the models join.
     """
-    joined = frames.join(models.withColumnRenamed("pdf", "_pdf"), F.col(pdf) == F.col("_pdf"))
-    ratio = [F.col("mean")[i] / F.col("var")[i] for i in range(dim)]
     x = [*[F.col(vector)[j].cast("double") for j in range(dim)], F.lit(1.0)]
-    rows = F.array(*[F.array(*[F.sum(r * v) for v in x]) for r in ratio])
-    return joined.groupBy(speaker).agg(F.count("*").alias("beta"), rows.alias("k")).select(speaker, "beta", F.posexplode("k").alias("dim", "k"))
+    sums = frames.groupBy(speaker, F.col(pdf).alias("_pdf")).agg(F.array(*[F.sum(v) for v in x]).alias("_s"), F.count("*").alias("_n"))
+    ratio = F.zip_with(F.slice("mean", 1, dim), F.slice("var", 1, dim), lambda m, v: m / v)
+    parts = sums.join(models.select(F.col("pdf").alias("_pdf"), ratio.alias("_ratio")), "_pdf").select(speaker, "_n", "_s", F.posexplode("_ratio").alias("dim", "_r"))
+    return parts.groupBy(speaker, "dim").agg(F.sum("_n").alias("beta"), F.array(*[F.sum(F.col("_r") * F.col("_s")[j]) for j in range(dim + 1)]).alias("k")).select(speaker, "beta", "dim", "k")
 
 
 def normalised_probabilities(counts: DataFrame, group: str, count: str, floor: float = 0.01, least: float = 5, rounds: int = 3) -> DataFrame:

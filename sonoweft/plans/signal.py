@@ -85,8 +85,8 @@ LOG_SUM_EXP = f"WITH {FRAMES_SQL}, m AS (SELECT utt, max(x) AS top FROM frames G
 
 
 def lda_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Within-class and between-class covariance of the first 16 dimensions, from one scatter per class."""
-    d = 16
+    """Within-class and between-class covariance, from one scatter per class."""
+    d = DIM
     s = statistics.scatter(table(spark, sf_dir, "embeddings"), "label", "embedding", d, augmented=True)
     last = s.where(F.col("row") == d).select(F.col("key").alias("k"), "n", F.col("sums").alias("sx"))
     cell = s.where(F.col("row") < d).drop("n").join(F.broadcast(last), F.col("key") == F.col("k")).select("n", "sx", "row", F.posexplode(F.slice("sums", 1, d)).alias("col", "xx"))
@@ -99,15 +99,15 @@ def lda_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), rounded(total - between).alias("within"), rounded(between).alias("between"))
 
 
-LDA_SCATTER = f"""WITH {_VECTORS}, w AS (SELECT * FROM v WHERE dim < 16), c AS (SELECT label, dim, count(*) AS n, sum(x) AS sx FROM w GROUP BY label, dim),
+LDA_SCATTER = f"""WITH {_VECTORS}, w AS (SELECT * FROM v), c AS (SELECT label, dim, count(*) AS n, sum(x) AS sx FROM w GROUP BY label, dim),
 b AS (SELECT a.dim AS row, z.dim AS col, sum(a.n) AS n, sum(a.sx) AS si, sum(z.sx) AS sj, sum(a.sx * z.sx / a.n) AS bb FROM c a JOIN c z USING (label) GROUP BY a.dim, z.dim),
 s AS (SELECT a.dim AS row, z.dim AS col, sum(a.x * z.x) AS xx FROM w a JOIN w z USING (vec_id) GROUP BY a.dim, z.dim)
 SELECT row, col, round(xx / n - bb / n, 6) + 0.0e0 AS within, round(bb / n - si / n * sj / n, 6) + 0.0e0 AS between FROM s JOIN b USING (row, col)"""
 
 
 def mllt_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MLLT statistics G_j of the first 8 dimensions: per class the scatter around its mean, over the class variance of j."""
-    d = 8
+    """MLLT statistics G_j: per class the scatter around its mean, over the class variance of j."""
+    d = DIM
     s = statistics.scatter(table(spark, sf_dir, "embeddings"), "label", "embedding", d, augmented=True)
     last = s.where(F.col("row") == d).select(F.col("key").alias("k"), F.col("n").alias("nk"), F.col("sums").alias("sx"))
     c = s.where(F.col("row") < d).join(F.broadcast(last), F.col("key") == F.col("k"))
@@ -118,38 +118,39 @@ def mllt_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.col(k).cast("long").alias(k) for k in ("j", "row", "col")], "g")
 
 
-MLLT_SCATTER = f"""WITH {_VECTORS}, w AS (SELECT vec_id, label, dim, x - avg(x) OVER (PARTITION BY label, dim) AS x FROM v WHERE dim < 8),
+MLLT_SCATTER = f"""WITH {_VECTORS}, w AS (SELECT vec_id, label, dim, x - avg(x) OVER (PARTITION BY label, dim) AS x FROM v),
 var AS (SELECT label, dim AS j, avg(x * x) AS var FROM w GROUP BY label, dim), s AS (SELECT a.label, a.dim AS row, z.dim AS col, sum(a.x * z.x) AS xx FROM w a JOIN w z USING (vec_id) GROUP BY ALL)
 SELECT j, row, col, round(sum(xx / var), 4) + 0.0e0 AS g FROM s JOIN var USING (label) GROUP BY j, row, col"""
 
 
 def fmllr_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Speaker = vec_id mod 10, pdf = label; beta and the rows of K for 8 dimensions."""
+    """Speaker = vec_id mod 10, pdf = label; beta and the rows of K."""
     e = table(spark, sf_dir, "embeddings").withColumn("speaker", F.col("vec_id") % 10)
-    k = statistics.affine_k(e, "speaker", "label", "embedding", 8, acoustic.diagonal_models(e, "label", "embedding", 8))
+    k = statistics.affine_k(e, "speaker", "label", "embedding", DIM, acoustic.diagonal_models(e, "label", "embedding", DIM))
     rows = k.select("speaker", "beta", "dim", F.posexplode("k").alias("col", "k"))
     return rows.select("speaker", "beta", F.col("dim").cast("long").alias("dim"), F.col("col").cast("long").alias("col"), rounded(F.col("k"), 5).alias("k"))
 
 
-FMLLR_K = f"""WITH {_VECTORS}, w AS (SELECT * FROM v WHERE dim < 8), m AS (SELECT label, dim, avg(x) AS mean, greatest(sum(x * x) / count(*) - avg(x) * avg(x), 0.001e0) AS var FROM w GROUP BY label, dim),
-x1 AS (SELECT vec_id, dim AS col, x FROM w UNION ALL SELECT vec_id, 8, 1.0e0 FROM embeddings)
+FMLLR_K = f"""WITH {_VECTORS}, w AS (SELECT * FROM v), m AS (SELECT label, dim, avg(x) AS mean, greatest(sum(x * x) / count(*) - avg(x) * avg(x), 0.001e0) AS var FROM w GROUP BY label, dim),
+x1 AS (SELECT vec_id, dim AS col, x FROM w UNION ALL SELECT vec_id, 64, 1.0e0 FROM embeddings)
 SELECT vec_id % 10 AS speaker, count(*) AS beta, m.dim, col, round(sum(mean / var * x1.x), 5) + 0.0e0 AS k FROM embeddings e JOIN m USING (label) JOIN x1 USING (vec_id) GROUP BY ALL"""
 
 
 def fmllr_g(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G_i per speaker: sum over pdfs of the augmented scatter over the pdf's variance of dimension i."""
-    d = 4
+    """G_i per speaker: sum over pdfs of the augmented scatter over the pdf's variance of dimension i; of each row its diagonal and its sum."""
+    d = DIM
     e = table(spark, sf_dir, "embeddings").withColumn("sp", F.concat_ws(",", F.col("vec_id") % 10, "label"))
     s = statistics.scatter(e, "sp", "embedding", d, augmented=True).withColumn("speaker", F.split("key", ",")[0].cast("long")).withColumn("pdf", F.split("key", ",")[1].cast("int"))
     m = acoustic.diagonal_models(e, "label", "embedding", d).select("pdf", F.posexplode("var").alias("i", "var"))
-    cells = s.join(F.broadcast(m), "pdf").select("speaker", "i", "row", F.posexplode("sums").alias("col", "x"), "var")
-    out = cells.groupBy("speaker", "i", "row", "col").agg(rounded(F.sum(F.col("x") / F.col("var")), 4).alias("g"))
-    return out.select("speaker", *[F.col(k).cast("long").alias(k) for k in ("i", "row", "col")], "g")
+    g = s.join(m, "pdf").groupBy("speaker", "i", "row").agg(F.array(*[F.sum(F.col("sums")[j] / F.col("var")) for j in range(d + 1)]).alias("g"))
+    total = F.aggregate("g", F.lit(0.0), lambda a, x: a + x)
+    return g.select("speaker", F.col("i").cast("long").alias("i"), F.col("row").cast("long").alias("row"), rounded(F.element_at("g", F.col("row") + 1), 4).alias("diagonal"), rounded(total, 4).alias("total"))
 
 
-FMLLR_G = f"""WITH {_VECTORS}, w AS (SELECT * FROM v WHERE dim < 4), m AS (SELECT label, dim, greatest(sum(x * x) / count(*) - avg(x) * avg(x), 0.001e0) AS var FROM w GROUP BY label, dim),
-x1 AS (SELECT vec_id, label, dim, x FROM w UNION ALL SELECT vec_id, label, 4, 1.0e0 FROM embeddings)
-SELECT a.vec_id % 10 AS speaker, m.dim AS i, a.dim AS row, b.dim AS col, round(sum(a.x * b.x / var), 4) + 0.0e0 AS g FROM x1 a JOIN x1 b USING (vec_id) JOIN m ON m.label = a.label GROUP BY ALL"""
+FMLLR_G = f"""WITH {_VECTORS}, m AS (SELECT label, dim, greatest(sum(x * x) / count(*) - avg(x) * avg(x), 0.001e0) AS var FROM v GROUP BY label, dim),
+x1 AS (SELECT vec_id, label, dim, x FROM v UNION ALL SELECT vec_id, label, 64, 1.0e0 FROM embeddings), t AS (SELECT vec_id, sum(x) AS t FROM x1 GROUP BY vec_id),
+c AS (SELECT vec_id % 10 AS speaker, label, dim AS row, sum(x * x) AS xx, sum(x * t) AS xt FROM x1 JOIN t USING (vec_id) GROUP BY ALL)
+SELECT speaker, m.dim AS i, row, round(sum(xx / var), 4) + 0.0e0 AS diagonal, round(sum(xt / var), 4) + 0.0e0 AS total FROM c JOIN m USING (label) GROUP BY ALL"""
 
 
 def two_feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,8 +246,8 @@ SELECT label, next, n, round(s, 6) AS p FROM p3"""
 
 
 def gmm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One expectation and maximisation step of a mixture that starts at the labels' Gaussians (8 dimensions)."""
-    d = 8
+    """One expectation and maximisation step of a mixture that starts at the labels' Gaussians."""
+    d = DIM
     e = table(spark, sf_dir, "embeddings")
     start = acoustic.diagonal_models(e, "label", "embedding", d).select(F.col("pdf").alias("g"), F.lit(0.1).alias("weight"), "mean", "var")
     m = acoustic.maximised(acoustic.weighted_moments(e, "embedding", start, d))
@@ -254,7 +255,7 @@ def gmm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("g").cast("int").alias("g"), "weight", F.col("dim").cast("long").alias("dim"), rounded(F.col("s.mean"), 5).alias("mean"), rounded(F.col("s.var"), 5).alias("var"))
 
 
-GMM_STATS = f"""WITH {_VECTORS}, w AS (SELECT * FROM v WHERE dim < 8), m AS (SELECT label AS g, dim, avg(x) AS mean, greatest(sum(x * x) / count(*) - avg(x) * avg(x), 0.001e0) AS var FROM w GROUP BY label, dim),
+GMM_STATS = f"""WITH {_VECTORS}, w AS (SELECT * FROM v), m AS (SELECT label AS g, dim, avg(x) AS mean, greatest(sum(x * x) / count(*) - avg(x) * avg(x), 0.001e0) AS var FROM w GROUP BY label, dim),
 l AS (SELECT vec_id, g, -0.5e0 * sum(ln(var) + (x - mean) * (x - mean) / var) AS l FROM w JOIN m USING (dim) GROUP BY vec_id, g), t AS (SELECT vec_id, max(l) AS top FROM l GROUP BY vec_id),
 e AS (SELECT vec_id, g, exp(l - top) AS e FROM l JOIN t USING (vec_id)), p AS (SELECT vec_id, g, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e),
 s AS (SELECT g, dim, sum(p) AS occ, sum(p * x) AS sx, sum(p * x * x) AS sxx FROM p JOIN w USING (vec_id) GROUP BY g, dim),

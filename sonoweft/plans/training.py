@@ -21,6 +21,10 @@ TONES = {"view": 220.0, "signup": 440.0, "click": 880.0, "purchase": 1760.0}
 RATE = 16_000
 
 
+#: Dimensions of an embedding.
+DIM = 64
+
+
 def tone_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """utt (user and week), words in order with their length in ms; errors are silence."""
     e = table(spark, sf_dir, "events")
@@ -97,7 +101,7 @@ def tone_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixture_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of a mixture trained on embeddings: iteration, gaussians, loglike."""
-    _, log = estimation.trained_mixture(table(spark, sf_dir, "embeddings"), "embedding", 16, 4, 8)
+    _, log = estimation.trained_mixture(table(spark, sf_dir, "embeddings"), "embedding", DIM, 4, 8)
     return spark.createDataFrame([(x["iteration"], x["gaussians"], round(x["loglike"], 4)) for x in log], "iteration int, gaussians int, loglike double")
 
 
@@ -123,32 +127,32 @@ def tree_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lda_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three directions for 16 dimensions of the embeddings, and the classes' mean along each."""
+    """The first three directions of the embeddings, and the classes' mean along each."""
     e = table(spark, sf_dir, "embeddings")
-    p = estimation.lda_projection(statistics.scatter(e, "label", "embedding", 16, augmented=True), 16, 3)
+    p = estimation.lda_projection(statistics.scatter(e, "label", "embedding", DIM, augmented=True), DIM, 3)
     dots = [sum(F.col("embedding")[i].cast("double") * F.lit(float(v)) for i, v in enumerate(row)) for row in p]
     return e.groupBy("label").agg(F.count("*").alias("n"), *[F.round(F.avg(d), 4).alias(f"mean{k}") for k, d in enumerate(dots)])
 
 
 def speaker_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fMLLR of 4 dimensions: speaker = vec_id mod 5, pdf = label; rows of each transform and the gain per frame."""
-    d = 4
-    e = table(spark, sf_dir, "embeddings").withColumn("speaker", F.col("vec_id") % 5)
+    """fMLLR: speaker = vec_id mod 3, pdf = label; rows of each transform and the gain per frame."""
+    d = DIM
+    e = table(spark, sf_dir, "embeddings").withColumn("speaker", F.col("vec_id") % 3)
     models = acoustic.diagonal_models(e, "label", "embedding", d)
     k = statistics.affine_k(e, "speaker", "label", "embedding", d, models)
     key = F.concat_ws(",", "speaker", "label")
     s = statistics.scatter(e.withColumn("sp", key), "sp", "embedding", d, augmented=True)
     s = s.select(F.split("key", ",")[0].cast("long").alias("speaker"), F.split("key", ",")[1].cast("int").alias("pdf"), "row", "sums")
-    cells = s.join(F.broadcast(models.select("pdf", F.posexplode("var").alias("i", "var"))), "pdf")
+    cells = s.join(models.select("pdf", F.posexplode("var").alias("i", "var")), "pdf")
     g = cells.groupBy("speaker", "i", "row").agg(F.array(*[F.sum(F.col("sums")[j] / F.col("var")) for j in range(d + 1)]).alias("sums"))
-    out = estimation.fmllr_transforms(k, g, d, min_count=50)
+    out = estimation.fmllr_transforms(k, g, d, min_count=2 * (d + 1))
     return out.select("speaker", "row", F.transform("w", lambda x: F.round(x, 3)).alias("w"), F.round("gain", 4).alias("gain"))
 
 
 def mllt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The MLLT of 8 dimensions of the embeddings (class = label): its rows, and the gain per frame."""
-    d = 8
-    rows = statistics.scatter(table(spark, sf_dir, "embeddings"), "label", "embedding", d, augmented=True).collect()  # 9 rows per class
+    """The MLLT of the embeddings (class = label): its rows, and the gain per frame."""
+    d = DIM
+    rows = statistics.scatter(table(spark, sf_dir, "embeddings"), "label", "embedding", d, augmented=True).collect()  # d + 1 rows per class
     sums: dict[str, np.ndarray] = {}
     for r in rows:
         sums.setdefault(r["key"], np.zeros((d + 1, d + 1)))[r["row"]] = r["sums"]
