@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lm, media, packing, shared, sharding, simhash, tokenfile, toxicity, warc
+from . import chat, collocation, decontam, exact, lm, media, packing, runs, shared, sharding, simhash, tokenfile, toxicity, warc
 
 
 def vocabulary(name: str) -> str:
@@ -108,6 +108,82 @@ def op10_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, toxicity.remainder("doc_id", 10) == 0)
 
 
+def op11_radix_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = exact.classes(docs, {"sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("carried.sha256").alias("text_sha256"))
+
+
+OP11_SQL = """
+WITH sized AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM sized WINDOW same AS (PARTITION BY t)
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return runs.digests(runs.periodic_runs(runs.planted(docs)))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), split AS (
+  SELECT doc, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs
+), pieces AS (
+  SELECT row_number() OVER () AS p, lang, regexp_split_to_array(piece, '[\x20\x09]+') AS ws FROM split
+), words AS (
+  SELECT * FROM (SELECT p, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM pieces) WHERE w <> ''
+), next AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM words WINDOW o AS (PARTITION BY p ORDER BY i)
+), f1 AS (SELECT lang, w1, count(*) AS f FROM next GROUP BY ALL
+), f2 AS (SELECT lang, w1, w2, count(*) AS f FROM next WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+), f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM next WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+), f4 AS (SELECT lang, w1, w2, w3, w4, count(*) AS f FROM next WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang
+), cuts AS (
+  SELECT x.lang, x.w1 || ' ' || x.w2 AS phrase, x.f AS a, 1 AS k, p.f AS l, q.f AS r
+  FROM f2 x JOIN f1 p ON (p.lang, p.w1) = (x.lang, x.w1) JOIN f1 q ON (q.lang, q.w1) = (x.lang, x.w2)
+  UNION ALL SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, 1, p.f, q.f
+  FROM f3 x JOIN f1 p ON (p.lang, p.w1) = (x.lang, x.w1) JOIN f2 q ON (q.lang, q.w1, q.w2) = (x.lang, x.w2, x.w3)
+  UNION ALL SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3, x.f, 2, p.f, q.f
+  FROM f3 x JOIN f2 p ON (p.lang, p.w1, p.w2) = (x.lang, x.w1, x.w2) JOIN f1 q ON (q.lang, q.w1) = (x.lang, x.w3)
+  UNION ALL SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3 || ' ' || x.w4, x.f, 1, p.f, q.f
+  FROM f4 x JOIN f1 p ON (p.lang, p.w1) = (x.lang, x.w1) JOIN f3 q ON (q.lang, q.w1, q.w2, q.w3) = (x.lang, x.w2, x.w3, x.w4)
+  UNION ALL SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3 || ' ' || x.w4, x.f, 2, p.f, q.f
+  FROM f4 x JOIN f2 p ON (p.lang, p.w1, p.w2) = (x.lang, x.w1, x.w2) JOIN f2 q ON (q.lang, q.w1, q.w2) = (x.lang, x.w3, x.w4)
+  UNION ALL SELECT x.lang, x.w1 || ' ' || x.w2 || ' ' || x.w3 || ' ' || x.w4, x.f, 3, p.f, q.f
+  FROM f4 x JOIN f3 p ON (p.lang, p.w1, p.w2, p.w3) = (x.lang, x.w1, x.w2, x.w3) JOIN f1 q ON (q.lang, q.w1) = (x.lang, x.w4)
+), scored AS (
+  SELECT *, (2000000::HUGEINT * a) // (l + r) AS score FROM cuts
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, inner_phrase AS phrase, max(f) AS f FROM (
+    SELECT lang, w1 || ' ' || w2 AS inner_phrase, f FROM f3
+    UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3
+    UNION ALL SELECT lang, w1 || ' ' || w2, f FROM f4
+    UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f4
+    UNION ALL SELECT lang, w3 || ' ' || w4, f FROM f4
+    UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, f FROM f4
+    UNION ALL SELECT lang, w2 || ' ' || w3 || ' ' || w4, f FROM f4
+  ) GROUP BY lang, inner_phrase
+), ranked AS (
+  SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY c.score DESC, c.a DESC, c.phrase) AS rank, c.phrase, c.a, c.l, c.r, c.score
+  FROM lowest c LEFT JOIN longer g ON (g.lang, g.phrase) = (c.lang, c.phrase)
+  WHERE g.f IS NULL OR 100 * g.f::HUGEINT < 80 * c.a::HUGEINT
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_salvage_warc": op1_salvage_warc,
@@ -120,8 +196,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_qgram_decontamination": op8_qgram_decontamination,
         "op9_token_files": op9_token_files,
         "op10_backoff_automaton": op10_backoff_automaton,
+        "op11_radix_exact_dedup": op11_radix_exact_dedup,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_phrase_collocations": op13_phrase_collocations,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_schema_chats": OP3_SQL}
+    return {"op3_schema_chats": OP3_SQL, "op11_radix_exact_dedup": OP11_SQL, "op13_phrase_collocations": OP13_SQL}
