@@ -10,8 +10,8 @@ has a copy, and equality is that of the bytes themselves; no digest is compared.
 Only texts of unfinished groups are carried into the next round. The groups of a
 round are counted before any shuffle of rows (partial sums of a count and a
 maximum), and only groups of two rows or more are joined back; both sides of that
-join are shuffled or the groups are small enough for Spark to broadcast, so a
-group with a third of all rows is split by Spark's skew join.
+join are shuffled whatever their size, so a group with a third of all rows is split
+by Spark's skew join.
 
 Defined results: a null text counts as empty; a row with a null doc_id takes part,
 and keep_id is null only where a group has no doc_id; of rows that share the
@@ -47,7 +47,7 @@ def _split(live: DataFrame, size: int) -> DataFrame:
     groups = keyed.groupBy(*_KEYS).agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1")
     groups = materialize(groups.withColumn("next", F.monotonically_increasing_id()), "radix-groups")
     finished = F.col("ended") | F.col("next").isNull()
-    rows = keyed.join(groups, _KEYS, "left").select(
+    rows = keyed.join(groups.hint("merge"), _KEYS, "left").select(
         "doc_id",
         "carried",
         F.col("next").alias("group"),
