@@ -32,6 +32,17 @@ def pron_cost(p: Column) -> Column:
     return F.coalesce(-F.ln(floored(p)), F.lit(0.0))
 
 
+def correction_cost(c: Column) -> Column:
+    """-ln of a correction; none where it is unknown or zero, null (infinite) below."""
+    return F.when(F.coalesce(c, F.lit(0.0)) == 0, F.lit(0.0)).when(c > 0, -F.ln(c))
+
+
+def after_costs(own: Column, usual: float) -> tuple[Column, Column]:
+    """What silence, and none, cost after a pronunciation: by its own probability, else the usual one; null is infinite."""
+    p = F.when(F.coalesce(own, F.lit(0.0)) != 0, own).otherwise(F.lit(float(usual)))
+    return F.when(p > 0, -F.ln(p)), F.when(p <= 0, F.lit(0.0)).when(p < 1, -F.ln(1 - p))
+
+
 def log_sum_exp(x: Column, highest: Column) -> Column:
     """An aggregate: ln of the sum of exp, with the group's maximum at hand."""
     return F.first(highest) + F.ln(F.sum(F.exp(x - highest)))

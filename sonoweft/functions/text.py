@@ -23,7 +23,7 @@ def normalize_word(word: Column) -> Column:
 
 def strip_variant(word: Column) -> Column:
     """``word(2)`` as ``word``."""
-    return F.regexp_replace(word, r"(?<=.)\([0-9]+\)$", "")
+    return F.regexp_replace(word, r"\([0-9]+\)$", "")
 
 
 def untag_phone(phone: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, corpus, signal, training, transition
+from . import alignment, corpus, graph, signal, training, transition
 
-MODULES = (corpus, signal, alignment, training, transition)
+MODULES = (corpus, signal, alignment, training, transition, graph)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
