@@ -123,8 +123,6 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
             except zlib.error:
                 pass
             return b"".join(pieces), stop, f"member does not inflate: {str(e)[:60]}"
-        if len(pieces) == 1 and not pieces[0].startswith(VERSION[: len(pieces[0])]):
-            raise Bad("member holds no record")
         stop, step = stop + step, min(2 * step, 1 << 20)
     if not inflate.eof:
         return b"".join(pieces), stop, "member is cut off"
@@ -134,7 +132,7 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
 def parse_member(data: bytes, at: int) -> tuple[list[tuple[dict | None, str | None]], int, str | None]:
     """The good records in the gzip member that begins at ``at`` (a reason for each gap between them), the place after it, and its damage.
 
-    A member may hold any number of records, and a damaged one is read as far as it inflates.
+    A member may hold any number of records, whatever stands before the first good one, and a damaged one is read as far as it inflates.
     """
     plain, end, damage = _inflated(data, at)
     found = [(record, f"in a member, {n} bytes at {place}: {reason}" if reason else None) for place, n, record, reason in salvage(plain, members=False)]

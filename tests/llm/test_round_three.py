@@ -194,3 +194,28 @@ def test_phrases_in_many_small_rounds(spark):
 def test_equals_sql(spark, data, name):
     folder = data if name.startswith("op11") else "/root/testdata/sf0.01"
     assert rows(queries.queries()[name](spark, folder)) == sql_rows(views(folder), queries.oracle_sql()[name])
+
+
+# ---- WARC members that begin with something else
+
+
+def _member_record(n):
+    from sonoweft.llm import warc
+
+    block = b"payload %d" % n
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x:{n}>\r\nWARC-Block-Digest: sha1:{warc.base32_sha1(block)}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("first", [b"junk before the records\r\n", _member_record(0).replace(b"payload 0", b"damaged 0"), b""])
+@pytest.mark.parametrize("around", [b"", b"WARC/1.1 broken\r\n"])
+def test_a_member_whose_first_bytes_are_no_good_record(first, around):
+    import gzip
+
+    from sonoweft.llm import warc
+
+    data = around + gzip.compress(first + _member_record(1) + _member_record(2)) + around
+    got = list(warc.salvage(data))
+    assert [r["record_id"] for _, _, r, _ in got if r] == ["<urn:x:1>", "<urn:x:2>"]
+    assert sum(n for _, n, _, _ in got) == len(data)
+    assert any(why and "in a member" in why for *_, why in got) == bool(first)
