@@ -260,8 +260,10 @@ def aligned_twice(utts: DataFrame, model: Model, min_count: float = 500.0) -> Da
 
 
 def refined_times(samples: np.ndarray, spans: list[tuple[int, int, str]], model: Model, options: Mfcc = Mfcc()) -> list[float]:
-    """The boundary before each span but the first, in seconds: the best split of 1 ms frames between the two phones' middle states.
+    """The boundary before each span but the first, in seconds.
 
+    It is where the energy rises steeply, or else the best split of 1 ms frames between
+    the two phones' middle states, at a level that the energy moves (not before silence).
     A boundary stays within REACH and within half of each neighbouring span.
     """
     index = {p: i for i, p in enumerate(model.phones)}
@@ -272,13 +274,21 @@ def refined_times(samples: np.ndarray, spans: list[tuple[int, int, str]], model:
         if left == right:  # nothing tells the two apart
             out.append(centre / 1000)
             continue
-        back, on = (min(REACH, (b - a) * 5), min(REACH, (e - b) * 5))
+        tick = options.shift * 1000 // options.rate
+        back, on = min(REACH, (b - a) * tick // 2), min(REACH, ((e - b) * tick - 1) // 2)
         lo = centre - back
         cut = samples[max(0, lo - 20) * options.rate // 1000 : (centre + on + 20) * options.rate // 1000]
         costs = model.costs(mfcc(cut, fine))[lo - max(0, lo - 20) :][: back + on]
         middle = STATES // 2  # the outer states have learned frames that hold both phones
         curve = costs[:, index[right] * STATES + middle] - costs[:, index[left] * STATES + middle]
-        out.append((lo + estimation.refined_boundary(curve, back, back + on)) / 1000)
+        if len(curve) < 2:
+            out.append(centre / 1000)
+            continue
+        energy = estimation.energies(samples, lo - estimation.ONSET_MS, len(curve) + 2 * estimation.ONSET_MS, options.rate // 1000)
+        split = estimation.energy_onset(energy)
+        if split is None:
+            split = estimation.split_at_level(curve, 0.5 if right == SILENCE else estimation.crossing_level(energy))
+        out.append((centre if split is None else lo + split) / 1000)
     return out
 
 

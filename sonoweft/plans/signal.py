@@ -168,6 +168,22 @@ z AS (SELECT label, x, 1 / (1 + exp(-2 * (x - m) / greatest(sd, 1e-10))) AS p FR
 SELECT label, g, round(sum(p), 4) AS occ, round(sum(p * x) / sum(p), 4) AS mean FROM g GROUP BY label, g"""
 
 
+def speaker_independent_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model for plain features that posteriors of normalised ones give: weight, mean and variance of two Gaussians a label."""
+    f = frames(spark, sf_dir)
+    s = f.groupBy("utt").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"))
+    p = 1 / (1 + F.exp(-2 * (F.col("x") - F.col("m")) / F.greatest("sd", F.lit(1e-10))))
+    z = f.join(s, "utt").select("label", "x", F.posexplode(F.array(1 - p, p)).alias("g", "p"))
+    sums = z.groupBy("label", "g").agg(F.sum("p").alias("occ"), F.array(F.sum(F.col("p") * F.col("x"))).alias("sx"), F.array(F.sum(F.col("p") * F.col("x") * F.col("x"))).alias("sxx"))
+    return acoustic.solved(sums, "label").select("label", "g", rounded(F.col("weight")).alias("weight"), rounded(F.col("mean")[0], 4).alias("mean"), rounded(F.col("var")[0], 3).alias("var"))
+
+
+SPEAKER_INDEPENDENT_MODEL = f"""WITH {FRAMES_SQL}, s AS (SELECT utt, avg(x) AS m, stddev_pop(x) AS sd FROM frames GROUP BY utt),
+z AS (SELECT label, x, 1 / (1 + exp(-2 * (x - m) / greatest(sd, 1e-10))) AS p FROM frames JOIN s USING (utt)), g AS (SELECT label, 0 AS g, x, 1 - p AS p FROM z UNION ALL SELECT label, 1, x, p FROM z),
+o AS (SELECT label, g, sum(p) AS occ, sum(p * x) / sum(p) AS mean, sum(p * x * x) / sum(p) AS square FROM g GROUP BY label, g)
+SELECT label, g, round(occ / sum(occ) OVER (PARTITION BY label), 6) AS weight, round(mean, 4) AS mean, round(greatest(square - mean * mean, 0.001e0), 3) AS var FROM o"""
+
+
 def global_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and variance over the first eleven of the shortest utterances, variance floored."""
     f = frames(spark, sf_dir)
@@ -274,6 +290,7 @@ QUERIES = {
     "mllt_scatter": (mllt_scatter, MLLT_SCATTER),
     "fmllr_k": (fmllr_k, FMLLR_K),
     "fmllr_g": (fmllr_g, FMLLR_G),
+    "speaker_independent_model": (speaker_independent_model, SPEAKER_INDEPENDENT_MODEL),
     "two_feature_stats": (two_feature_stats, TWO_FEATURE_STATS),
     "global_moments": (global_moments, GLOBAL_MOMENTS),
     "pdf_occupancy": (pdf_occupancy, PDF_OCCUPANCY),
