@@ -22,7 +22,7 @@ def normalize_word(word: Column) -> Column:
 
 
 def strip_variant(word: Column) -> Column:
-    """``word(2)`` as ``word``."""
+    """``word(2)`` as ``word``; a bare ``(2)`` is an empty word."""
     return F.regexp_replace(word, r"\([0-9]+\)$", "")
 
 

@@ -66,16 +66,17 @@ def align(utts: DataFrame, model: aligner.Model) -> DataFrame:
     return spans.select("utt", "tier", "idx", F.when(F.col("label") == aligner.SILENCE, "").otherwise(F.col("label")).alias("label"), F.round(F.col("start_frame") * FRAME, 6).alias("xmin"), end.alias("xmax"), "duration", "loglike")
 
 
-def summary(utts: DataFrame, spans: DataFrame) -> DataFrame:
-    """One row: utterances, aligned, failed ids, unknown words, seconds."""
+def summary(utts: DataFrame, spans: DataFrame, shown: int = 10) -> DataFrame:
+    """One row: utterances, aligned, the first ``shown`` failed ids in order, unknown words, seconds."""
     done = spans.select("utt").distinct().withColumn("done", F.lit(1))
-    return utts.join(done, "utt", "left").agg(
-        F.count("*").alias("utterances"), F.count("done").alias("aligned"), F.sort_array(F.collect_list(F.when(F.col("done").isNull(), F.col("utt")))).alias("failed"), F.sum("oov").alias("oov"), F.sum("seconds").alias("seconds")
-    )
+    both = utts.select("utt", "oov", "seconds").join(done, "utt", "left")
+    first = both.where("done IS NULL").select("utt").orderBy("utt").limit(shown).agg(F.sort_array(F.collect_list("utt")).alias("failed"))
+    sums = both.agg(F.count("*").alias("utterances"), F.count("done").alias("aligned"), F.sum("oov").alias("oov"), F.sum("seconds").alias("seconds"))
+    return sums.join(first, F.lit(True)).select("utterances", "aligned", "failed", "oov", "seconds")  # one row each
 
 
-def write_textgrids(spans: DataFrame, folder: str) -> DataFrame:
-    """Writes one text row per utterance (utt, text) as Parquet; ``interval_files.written`` has the texts themselves."""
-    texts = interval_files.written(spans)
-    texts.write.mode("overwrite").parquet(folder)
-    return spans.sparkSession.read.schema(texts.schema).parquet(folder)
+def write_textgrids(spans: DataFrame, folder: str, short: bool = False) -> DataFrame:
+    """Writes a TextGrid file per utterance below ``folder`` and returns utt, path, bytes, kept in ``_written`` there."""
+    files = interval_files.saved(interval_files.written(spans, short=short), folder)
+    files.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/_written")
+    return spans.sparkSession.read.schema(files.schema).parquet(f"{folder.rstrip('/')}/_written")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,17 @@ def textgrid_text(tiers: list[tuple[str, list[tuple[float, float, str]]]], durat
     return "\n".join(out) + "\n"
 
 
+def short_textgrid_text(tiers: list[tuple[str, list[tuple[float, float, str]]]], duration: float) -> str:
+    """The short form: the values of the long one in the same order, one a line (the format is a fixed value)."""
+    quote = lambda s: '"' + s.replace('"', '""') + '"'
+    out = ['File type = "ooTextFile"', 'Object class = "TextGrid"', "", "0", number_text(duration), "<exists>", str(len(tiers))]
+    for name, spans in tiers:
+        out += ['"IntervalTier"', quote(name), "0", number_text(duration), str(len(spans))]
+        for a, b, label in spans:
+            out += [number_text(a), number_text(b), quote(label)]
+    return "\n".join(out) + "\n"
+
+
 _TOKEN = re.compile(r'"((?:[^"]|"")*)"|<[a-z]+>|(?<![\w.\[])(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\w\]])')
 
 
@@ -69,8 +82,9 @@ def parsed_textgrid(text: str) -> list[tuple[str, int, float, float, str]]:
     return out
 
 
-def written(spans: DataFrame, duration: str = "duration") -> DataFrame:
-    """(utt, text): a TextGrid per utterance from (utt, tier, xmin, xmax, label, duration)."""
+def written(spans: DataFrame, duration: str = "duration", short: bool = False) -> DataFrame:
+    """(utt, text): a TextGrid per utterance from (utt, tier, xmin, xmax, label, duration), in the long or the short form."""
+    form = short_textgrid_text if short else textgrid_text
     grouped = spans.groupBy("utt").agg(F.max(duration).alias("d"), F.sort_array(F.collect_list(F.struct("tier", "xmin", "xmax", "label"))).alias("s"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,12 +94,43 @@ def written(spans: DataFrame, duration: str = "duration") -> DataFrame:
                 tiers: dict[str, list] = {}
                 for r in rows:
                     tiers.setdefault(r["tier"], []).append((r["xmin"], r["xmax"], r["label"] or ""))
-                texts.append(textgrid_text(list(tiers.items()), d))
+                texts.append(form(list(tiers.items()), d))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["utt", "text"])
 
     return grouped.mapInArrow(task, "utt string, text string")
 
 
+def file_name(utt: str) -> str:
+    """A file name for an utterance: other characters than letters, digits, ``.``, ``_`` and ``-`` as ``%`` and their code."""
+    return re.sub(r"[^A-Za-z0-9._-]|^\.+$", lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "surrogatepass")), utt) + ".TextGrid"
+
+
+def saved(texts: DataFrame, folder: str) -> DataFrame:
+    """Writes each (utt, text) as a file below ``folder``, a URI that all executors see; returns utt, path, bytes when it is run.
+
+    A file is written under another name and then moved to its place, so a task that is
+    repeated leaves the same files and no reader sees half of one.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = pafs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for b in batches:
+            out = []
+            for utt, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data, name = text.encode("utf-8", "surrogatepass"), file_name(utt)
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with files.open_output_stream(part, compression=None) as f:
+                    f.write(data)
+                files.move(part, f"{root}/{name}")
+                out.append((utt, f"{folder.rstrip('/')}/{name}", len(data)))
+            kinds = [pa.string(), pa.string(), pa.int64()]
+            columns = zip(*out, strict=True) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["utt", "path", "bytes"])
+
+    return texts.select("utt", "text").mapInArrow(task, "utt string, path string, bytes long")
+
+
 def read_back(texts: DataFrame) -> DataFrame:
     """The intervals of (path, content), content a binary or text column."""
 

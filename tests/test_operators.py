@@ -21,7 +21,7 @@ def test_normalize_word(spark, word, want):
     assert one(spark, text.normalize_word(F.col("w")), w=word) == want
 
 
-@pytest.mark.parametrize("word, want", [("word(2)", "word"), ("(2)", "(2)"), ("word()", "word()"), ("a(2)(3)", "a(2)")])
+@pytest.mark.parametrize("word, want", [("word(2)", "word"), ("(2)", ""), ("word()", "word()"), ("a(2)(3)", "a(2)")])
 def test_strip_variant(spark, word, want):
     assert one(spark, text.strip_variant(F.col("w")), w=word) == want
 

@@ -43,3 +43,32 @@ def test_onset_level_and_split(seed):
     best = max(scores)
     want = None if ratio.min() == ratio.max() else min(next(i for i, s in enumerate(scores) if s >= best - 1e-9), n - 1)
     assert e.split_at_level(ratio, level) == want
+
+
+# ---- interval files
+
+
+def test_textgrid_files_in_both_forms(spark, tmp_path):
+    from sonoweft.plans import speech
+    from sonoweft.sources import interval_files as files
+
+    rows = [("a/b ü", "words", 0.0, 0.25, 'say "hi"', 1.5), ("a/b ü", "words", 0.25, 1.5, "", 1.5), ("a/b ü", "phones", 0.0, 1.5, "x", 1.5), ("..", "words", 0.0, 2.0, None, 2.0)]
+    spans = spark.createDataFrame(rows, "utt string, tier string, xmin double, xmax double, label string, duration double")
+    want = sorted((files.file_name(u), t, a, b, label or "") for u, t, a, b, label, _ in rows)
+    for short in (False, True):
+        folder = f"file://{tmp_path}/{short}"
+        made = speech.write_textgrids(spans, folder, short=short).collect()
+        assert sorted(r.utt for r in made) == ["..", "a/b ü"]
+        assert sorted(p.name for p in (tmp_path / str(short)).glob("*.TextGrid")) == sorted(files.file_name(r.utt) for r in made)
+        assert all((tmp_path / str(short) / files.file_name(r.utt)).stat().st_size == r.bytes for r in made)
+        back = files.read(spark, folder).collect()
+        assert sorted((r.path.rsplit("/", 1)[1].replace("%25", "%"), r.tier, r.xmin, r.xmax, r.label) for r in back) == want
+    assert files.file_name("..") == "%2E%2E.TextGrid"
+
+
+def test_audio_of_another_rate_raises(spark):
+    from sonoweft.operators.features import mfcc_rows
+
+    audio = spark.createDataFrame([("u", 8000, [0.0] * 800)], "utt string, rate int, samples array<float>")
+    with pytest.raises(Exception, match="resampled to 16000"):
+        mfcc_rows(audio).collect()
