@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import numbers, text
-from ..operators import lexicon, sequences
+from ..functions import durations, numbers, text
+from ..operators import lexicon, schedules, sequences
 from .inputs import WORDS_SQL, table, vocabulary, word_counts, words
 
 
@@ -217,7 +217,39 @@ VARIANT_WORDS = f"""WITH {WORDS_SQL}
 SELECT word, count(DISTINCT word || CASE WHEN pos % 3 = 0 THEN '(' || (pos % 4 + 2) || ')' ELSE '' END) AS variants, count(*) AS n FROM words GROUP BY word"""
 
 
+def spoken_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source and language: the length of the audio (0.1 s a character) as text, and the time factor of half a second's work a document."""
+    d = table(spark, sf_dir, "documents").groupBy("source", "lang").agg((F.sum("n_chars") / 10).alias("seconds"), F.count("*").alias("n"))
+    spent = F.col("n") / 2
+    return d.select("source", "lang", durations.human_duration(F.col("seconds")).alias("audio"), durations.human_duration(spent).alias("spent"), durations.real_time_factor(spent, F.col("seconds")).alias("rtf"))
+
+
+_HUMAN = """CASE WHEN {s} < 60 THEN printf('%.1fs', {s}) WHEN {s} < 3600 THEN printf('%dm %02ds', floor({s} / 60)::BIGINT, floor({s})::BIGINT % 60)
+ELSE printf('%dh %02dm %02ds', floor({s} / 3600)::BIGINT, floor({s})::BIGINT % 3600 // 60, floor({s})::BIGINT % 60) END"""
+
+SPOKEN_DURATIONS = f"""WITH d AS (SELECT source, lang, sum(n_chars)::DOUBLE / 10 AS s, count(*)::DOUBLE / 2 AS e FROM documents GROUP BY ALL)
+SELECT source, lang, {_HUMAN.format(s="s")} AS audio, {_HUMAN.format(s="e")} AS spent, CASE WHEN s > 0 THEN printf('%.3fx', e / s) ELSE '—' END AS rtf FROM d"""
+
+
+#: A schedule of rounds (kind, subset, optional) for the sizes of the supplied tables.
+ROUNDS = [("mono", 20, False), ("tri", 40, False), ("lda", 40, False), ("probs", 30, True), ("sat", 60, True), ("tri", 0, False), ("sat", 120, True), ("sat", 0, True)]
+
+
+def effective_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounds that the documents of each source and language would go through as a corpus; lda is disabled."""
+    sizes = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("utts"))
+    return schedules.effective_rounds(sizes, ROUNDS, {"lda"})
+
+
+EFFECTIVE_SCHEDULE = f"""WITH r(nth, kind, subset, optional) AS (VALUES {", ".join(f"({n}, '{k}', {s}, {o})" for n, (k, s, o) in enumerate(ROUNDS))}),
+sizes AS (SELECT source, lang, count(*) AS utts FROM documents GROUP BY ALL),
+rounds AS (SELECT *, bool_or(optional AND subset > utts) OVER (PARTITION BY source, lang ORDER BY nth) AS ended FROM sizes, r WHERE kind <> 'lda')
+SELECT source, lang, utts, nth, kind, CASE WHEN subset < utts THEN subset ELSE 0 END::BIGINT AS subset, optional FROM rounds WHERE NOT ended"""
+
+
 QUERIES = {
+    "spoken_durations": (spoken_durations, SPOKEN_DURATIONS),
+    "effective_schedule": (effective_schedule, EFFECTIVE_SCHEDULE),
     "lexicon_oov": (lexicon_oov, LEXICON_OOV),
     "oov_top10": (oov_top10, OOV_TOP10),
     "lexicon_lookup": (lexicon_lookup, LEXICON_LOOKUP),

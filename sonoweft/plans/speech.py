@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import words_of
+from ..functions.durations import human_duration, real_time_factor
+from ..functions.text import speaker_name, without_extension, words_of
 from ..operators.features import mfcc_rows
 from ..operators.lexicon import looked_up
 from ..sources import audio, dictionary, interval_files, listing
@@ -18,7 +23,11 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """path (relative) and text of all transcripts; of interval files the nonempty labels of the first tier."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{lab,txt,TextGrid,LAB,TXT,textgrid}").load(folder)
     top = folder.rstrip("/").split("://")[-1]
-    files = files.select(F.substring_index("path", f"{top}/", -1).alias("path"), "content")
+    return texts_of(files.select(F.substring_index("path", f"{top}/", -1).alias("path"), "content"))
+
+
+def texts_of(files: DataFrame) -> DataFrame:
+    """path and text of transcript files (path, content)."""
     grid = F.lower("path").endswith(".textgrid")
     spans = interval_files.read_back(files.where(grid).select("path", "content"))
     first = spans.groupBy("path").agg(F.min_by("tier", "idx").alias("_tier"))
@@ -55,6 +64,49 @@ def utterances(spark: SparkSession, folder: str, lexicon: DataFrame) -> DataFram
     return normalised(mfcc_rows(rows.select("utt", "speaker", "words", "oov", "seconds", "rate", "samples")))
 
 
+def is_file(spark: SparkSession, text: str) -> bool:
+    """Whether a text of one line names a file that exists, by the file system that it names."""
+    if not text.strip() or "\n" in text:
+        return False
+    jvm = spark.sparkContext._jvm
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(text)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(path)
+    except IllegalArgumentException:  # not a path
+        return False
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "UnsupportedFileSystemException":
+            raise  # a file system that can't be reached isn't a text
+        return False
+
+
+def single(spark: SparkSession, sound: object, transcript: str, lexicon: DataFrame, sample_rate: int | None = None, speaker: str | int = "folder", known: Collection[str] | None = None) -> DataFrame:
+    """One utterance, with the columns of ``utterances``, of a path or samples and a transcript.
+
+    A transcript that names an existing file is read from it. With ``known`` (the phones of a model) a
+    phone outside it raises; so does audio that can't be read and a transcript without words.
+    """
+    heard = audio.given(spark, sound, sample_rate).select("path", "rate", "samples", "error")
+    row = heard.select("path", "error").first()
+    if row is None or row.error:
+        raise ValueError(f"audio can't be read: {row.error if row else sound}")
+    if is_file(spark, transcript):
+        found = texts_of(spark.read.format("binaryFile").load(transcript).select("path", "content")).first()
+        transcript = found.text if found else ""
+    at = F.lit(row.path)
+    utt = F.lit("utt") if row.path is None else without_extension(F.element_at(F.split(at, "/"), -1))
+    name = F.lit("speaker") if row.path is None else speaker_name(at, speaker)
+    words = pronounced(spark.createDataFrame([(transcript,)], "text string").select(utt.alias("utt"), "text"), lexicon)
+    needed = {r.phone for r in words.select(F.explode(F.flatten(F.flatten("words"))).alias("phone")).distinct().collect()}
+    if not needed:
+        raise ValueError("the transcript has no words")
+    if known is not None and (missing := sorted(needed - set(known))):
+        raise ValueError(f"phones that the model doesn't have: {' '.join(missing)}")
+    sound_row = heard.select(utt.alias("utt"), name.alias("speaker"), "rate", "samples")
+    rows = words.join(sound_row, "utt").withColumn("seconds", F.size("samples") / F.col("rate"))
+    return normalised(mfcc_rows(rows.select("utt", "speaker", "words", "oov", "seconds", "rate", "samples")))
+
+
 def train(spark: SparkSession, folder: str, dictionary_path: str, iterations: int = 10) -> tuple[aligner.Model, list[float]]:
     return aligner.trained(utterances(spark, folder, dictionary.read(spark, dictionary_path)).persist(), iterations)
 
@@ -75,6 +127,11 @@ def summary(utts: DataFrame, spans: DataFrame, shown: int = 10) -> DataFrame:
     return sums.join(first, F.lit(True)).select("utterances", "aligned", "failed", "oov", "seconds")  # one row each
 
 
+def timed(summaries: DataFrame, elapsed: float) -> DataFrame:
+    """A summary with the audio's length as text and the time spent for each second of it."""
+    return summaries.withColumn("audio", human_duration(F.col("seconds"))).withColumn("rtf", real_time_factor(F.lit(float(elapsed)), F.col("seconds")))
+
+
 def write_textgrids(spans: DataFrame, folder: str, short: bool = False) -> DataFrame:
     """Writes a TextGrid file per utterance below ``folder`` and returns utt, path, bytes, kept in ``_written`` there."""
     files = interval_files.saved(interval_files.written(spans, short=short), folder)

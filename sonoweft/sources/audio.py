@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import io
+import os
 import wave
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.features import resampled
 
@@ -56,3 +58,40 @@ def read(spark: SparkSession, path: str, rate: int | None = 16_000) -> DataFrame
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[wW][aA][vV]").load(path)
     return files.select("path", "content").mapInArrow(task, AUDIO)
+
+
+def given(spark: SparkSession, sound: object, sample_rate: int | None = None, rate: int = 16_000) -> DataFrame:
+    """One audio row of a path or of mono samples in memory.
+
+    A path (text or a path object) has its own rate, so none may be given; samples are one-dimensional
+    numbers and need theirs. Anything else is a TypeError, a rate that isn't positive a ValueError.
+    """
+    if isinstance(sound, (str, os.PathLike)):
+        if sample_rate is not None:
+            raise TypeError("sample_rate goes with samples in memory, not with a path")
+        return read(spark, os.fspath(sound), rate)
+    if sample_rate is None:
+        raise TypeError("samples in memory need a sample_rate")
+    if sample_rate <= 0:
+        raise ValueError("sample_rate must be positive")
+    try:
+        x = None if isinstance(sound, (bytes, bytearray)) else np.asarray(sound, np.float64)
+    except (TypeError, ValueError):
+        x = None
+    if x is None:
+        raise TypeError("audio is a path, a one-dimensional array or a sequence of numbers")
+    if x.ndim != 1:
+        raise TypeError(f"audio must have one dimension (mono), not the shape {x.shape}")
+    return spark.createDataFrame([(None, rate, resampled(x, sample_rate, rate).tolist(), None)], AUDIO)
+
+
+def slices(audio: DataFrame, spans: DataFrame, key: str = "path") -> DataFrame:
+    """The samples of each span (key, start, end in seconds) of its audio: the columns of ``spans``, rate and samples.
+
+    Ends are rounded to samples, halves upwards, and cut to what there is; a span that ends before it
+    starts, or lies outside, has no samples. Spans of unknown audio are left out.
+    """
+    rows = spans.join(audio.select(key, F.col("rate").alias("_rate"), F.col("samples").alias("_samples")), key)
+    at = lambda c: F.least(F.floor(F.greatest(F.col(c), F.lit(0.0)) * F.col("_rate") + 0.5), F.size("_samples")).cast("int")
+    cut = F.slice("_samples", at("start") + 1, F.greatest(at("end") - at("start"), F.lit(0)))
+    return rows.select(*[F.col(c) for c in spans.columns], F.col("_rate").alias("rate"), cut.alias("samples"))

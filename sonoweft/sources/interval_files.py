@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -149,3 +150,19 @@ def read_back(texts: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     return read_back(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+
+
+def ends(texts: DataFrame) -> DataFrame:
+    """(path, duration) of (path, content): where the file says that it ends, null for one that can't be read."""
+    path, content = texts.columns
+
+    def end(data: bytes) -> float | None:
+        text = decoded_text(data)
+        numbers = (float(m[2]) for m in _TOKEN.finditer(text) if m[2])
+        return next(itertools.islice(numbers, 1, None), None) if "ooTextFile" in text[:64] else None
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([end(x or b"") for x in b.column(1).to_pylist()], pa.float64())], names=[path, "duration"])
+
+    return texts.select(path, F.col(content).cast("binary")).mapInArrow(task, f"{path} string, duration double")
