@@ -1,4 +1,5 @@
-"""Acoustic models in the common binary format of tagged values, read into tables: Gaussians, transitions, phone names.
+"""Acoustic models in the common binary format of tagged values, read into tables: Gaussians, transitions,
+phone names, trees and matrices.
 
 Such a file has words in angle brackets, each with a blank behind it, and between them values that
 say their own width: whole numbers (4 bytes), and vectors and matrices of single or double precision.
@@ -16,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODEL_FILE, PHONES_FILE = "final.mdl", "phones.txt"
+MODEL_FILE, PHONES_FILE, TREE_FILE, MATRIX_FILE = "final.mdl", "phones.txt", "tree", "lda.mat"
 GAUSSIANS = pa.schema([("path", pa.string()), ("pdf", pa.int32()), ("g", pa.int32()), ("weight", pa.float64()), ("mean", pa.list_(pa.float64())), ("var", pa.list_(pa.float64()))])
 TRANSITIONS = pa.schema([("path", pa.string()), ("tid", pa.int32()), ("phone_id", pa.int32()), ("state", pa.int32()), ("pdf", pa.int32()), ("loop_pdf", pa.int32()), ("idx", pa.int32()), ("to", pa.int32()), ("p", pa.float64())])
 SYMBOLS = pa.schema([("path", pa.string()), ("phone", pa.string()), ("phone_id", pa.int32())])
-_TYPES = {pa.string(): "string", pa.int32(): "int", pa.float64(): "double", pa.list_(pa.float64()): "array<double>"}
+TREE = pa.schema([("path", pa.string()), ("node", pa.int32()), ("key", pa.string()), ("yes_set", pa.list_(pa.string())), ("yes", pa.int32()), ("no", pa.int32()), ("leaf", pa.int32())])
+MATRIX = pa.schema([("path", pa.string()), ("row", pa.int32()), ("values", pa.list_(pa.float64()))])
+_TYPES = {pa.list_(pa.string()): "array<string>", pa.string(): "string", pa.int32(): "int", pa.float64(): "double", pa.list_(pa.float64()): "array<double>"}
 
 
 class FormatError(ValueError):
@@ -149,6 +152,70 @@ def gaussians_of(v: Values) -> list[tuple]:
     return out
 
 
+def tree_of(v: Values) -> list[dict]:
+    """A tree's nodes as ``operators.trees`` has them, the root first; values are numbers as text.
+
+    A node that has a child for each value becomes a chain of questions for one value each; a value
+    without a child comes to a leaf of None.
+    """
+    v.word("ContextDependency")
+    width, centre = v.whole(), v.whole()
+    if not 0 <= centre < width <= 3 or (width > 1 and (width, centre) != (3, 1)):
+        raise v.fail(f"a context of {width} phones around the one at {centre}")
+    keys = {-1: "state", **({0: "phone"} if width == 1 else dict(enumerate(("left", "phone", "right"))))}
+    nodes: list[dict] = []
+
+    def key() -> str:
+        if (k := v.whole()) not in keys:
+            raise v.fail(f"a question about {k}")
+        return keys[k]
+
+    def add(**node: object) -> int:
+        nodes.append({"id": len(nodes), **node})
+        return len(nodes) - 1
+
+    def child() -> int:
+        kind = v.word("NULL", "CE", "TE", "SE")
+        if kind == "NULL":
+            return add(leaf=None)
+        if kind == "CE":
+            return add(leaf=v.whole())
+        asked = key()
+        if kind == "SE":
+            at = add(key=asked, yes_set=frozenset(map(str, v.wholes())))
+            v.word("{")
+            nodes[at]["yes"], nodes[at]["no"] = child(), child()
+            v.word("}")
+            return at
+        v.sized(252)  # a count without a sign has the width -4
+        size = int(v.array("<u4", 1)[0])
+        v.word("(")
+        first = last = None
+        for value in range(size):
+            at = add(key=asked, yes_set=frozenset([str(value)]))
+            nodes[at]["yes"] = child()
+            if last is not None:
+                nodes[last]["no"] = at
+            first, last = at if first is None else first, at
+        v.word(")")
+        other = add(leaf=None)
+        if last is not None:
+            nodes[last]["no"] = other
+        return other if first is None else first
+
+    if v.word("ToPdf", "ToLength") == "ToLength":
+        child()
+        nodes.clear()
+        v.word("ToPdf")
+    child()
+    v.word("EndContextDependency")
+    return nodes
+
+
+def _tree_rows(name: str, data: bytes) -> list[tuple]:
+    return [(n["id"], n.get("key"), sorted(n["yes_set"]) if "key" in n else None, n.get("yes"), n.get("no"), n.get("leaf")) for n in tree_of(Values(data, name))]
+
+
 def _all_gaussians(name: str, data: bytes) -> list[tuple]:
     v = Values(data, name)
     transitions_of(v)
@@ -200,6 +267,22 @@ def phones(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, PHONES_FILE, SYMBOLS, _symbols)
 
 
+def tree(spark: SparkSession, path: str) -> DataFrame:
+    """path, node, key, yes_set, yes, no and leaf of every tree at or below a path."""
+    return _read(spark, path, TREE_FILE, TREE, _tree_rows)
+
+
+def nodes(found: DataFrame) -> list[dict]:
+    """The nodes of one tree, as large as its file."""
+    rows = found.orderBy("node").collect()
+    return [{"id": r.node, "leaf": r.leaf} if r.key is None else {"id": r.node, "key": r.key, "yes_set": frozenset(r.yes_set), "yes": r.yes, "no": r.no} for r in rows]
+
+
+def matrices(spark: SparkSession, path: str) -> DataFrame:
+    """path, row and values of every matrix of features at or below a path."""
+    return _read(spark, path, MATRIX_FILE, MATRIX, lambda name, data: [(i, row.tolist()) for i, row in enumerate(Values(data, name).matrix())])
+
+
 def probabilities(found: DataFrame, names: DataFrame) -> DataFrame:
     """phone, state, pdf, idx and p of one model's transitions, as ``operators.transitions.imported`` takes them."""
     return found.join(F.broadcast(names.select("phone_id", "phone")), "phone_id").select("phone", "state", "pdf", "idx", "p")

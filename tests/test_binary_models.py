@@ -8,7 +8,7 @@ import zipfile
 import numpy as np
 import pytest
 
-from sonoweft.operators import transitions
+from sonoweft.operators import transitions, trees
 from sonoweft.sources import binary_models as bm
 
 
@@ -103,3 +103,56 @@ def test_folders_and_archives(spark, tmp_path):
         z.writestr("readme", "nothing")
     with pytest.raises(Exception, match="no final.mdl in the archive"):
         bm.gaussians(spark, f"file://{tmp_path}/bare.zip").collect()
+
+
+def leaf(n):
+    return b"CE " + whole(n)
+
+
+def split(key, yes, a, b):
+    return b"SE " + whole(key) + wholes(yes) + b"{ " + a + b + b"} "
+
+
+def table(key, children):
+    return b"TE " + whole(key) + b"\xfc" + struct.pack("<I", len(children)) + b"( " + b"".join(children) + b") "
+
+
+def context_tree():
+    """Phone 1 by its neighbours and state, phone 2 by its state."""
+    one = split(0, [2], leaf(0), split(2, [1, 2], table(-1, [leaf(1), leaf(2)]), leaf(3)))
+    return b"\0BContextDependency " + whole(3) + whole(1) + b"ToPdf " + table(1, [b"NULL ", one, table(-1, [leaf(4), leaf(5)])]) + b"EndContextDependency "
+
+
+def hand_answer(left, phone, right, state):
+    if phone == 1:
+        if left == 2:
+            return 0
+        return {0: 1, 1: 2}.get(state) if right in (1, 2) else 3
+    return {0: 4, 1: 5}.get(state) if phone == 2 else None
+
+
+def test_trees_and_matrices(spark, tmp_path):
+    (tmp_path / "tree").write_bytes(context_tree())
+    m = np.arange(6.0).reshape(2, 3)
+    (tmp_path / "lda.mat").write_bytes(b"\0B" + matrix(m, "d"))
+    assert [r["values"] for r in bm.matrices(spark, f"file://{tmp_path}").orderBy("row").collect()] == m.tolist()
+    nodes = bm.nodes(bm.tree(spark, f"file://{tmp_path}"))
+    assert nodes == bm.tree_of(bm.Values(context_tree()))
+    every = [(a, b, c, s) for a in range(4) for b in range(4) for c in range(4) for s in range(3)]
+    events = spark.createDataFrame([*every, *every[:7], (None, 1, None, 0)], "left int, phone int, right int, state int")
+    got = trees.walked(events, nodes).collect()
+    assert len(got) == len(every) + 8
+    for r in got:
+        assert r.pdf == hand_answer(r.left, r.phone, r.right, r.state)
+    values = {k: [str(i) for i in range(4)] for k in trees.KEYS}
+    joined = trees.answered(events.where("left IS NOT NULL"), trees.tables(spark, nodes, values)).collect()
+    assert sorted(joined, key=str) == sorted((r for r in got if r.left is not None), key=str)
+    assert trees.walked(events.where("left > 9"), nodes).count() == 0
+    data = context_tree()
+    for bad in (data[:n] for n in range(2, len(data), 5)):
+        with pytest.raises(bm.FormatError):
+            bm.tree_of(bm.Values(bad))
+    alone = b"\0BContextDependency " + whole(1) + whole(0) + b"ToLength NULL ToPdf " + split(0, [1], leaf(0), leaf(1)) + b"EndContextDependency "
+    assert bm.tree_of(bm.Values(alone))[0]["key"] == "phone"
+    with pytest.raises(bm.FormatError, match="context of 5"):
+        bm.tree_of(bm.Values(alone.replace(whole(1) + whole(0), whole(5) + whole(2), 1)))
