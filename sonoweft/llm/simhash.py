@@ -65,13 +65,12 @@ def _majority(digests: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> np.n
     return np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view("<i8").reshape(-1)
 
 
-def _fingerprints(texts: list[str | None], width: int, seed: int, replicas: int = 1) -> np.ndarray:
-    """A row of fingerprints for each text; all but the first are of remixed hashes."""
-    digests = [shingle_digests(t, width, seed) for t in texts]
+def fingerprints_of(digests: list[bytes], replicas: int = 1) -> np.ndarray:
+    """A row of fingerprints for the shingle digests of each text; all but the first are of remixed hashes."""
     sizes = np.array([len(d) // 8 for d in digests], np.int64)
-    place = np.repeat(np.arange(len(texts)) << 8, sizes)
+    place = np.repeat(np.arange(len(digests)) << 8, sizes)
     hashes = np.frombuffer(b"".join(digests), ">u8").astype("<u8")
-    out = np.empty((len(texts), replicas), np.int64)
+    out = np.empty((len(digests), replicas), np.int64)
     for k in range(replicas):
         out[:, k] = _majority(hashes.view(np.uint8).reshape(-1, 8), place, sizes)
         hashes = (hashes ^ hashes >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
@@ -85,7 +84,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, replicas: int
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(rows_of(batches), 1):
-            fp = _fingerprints([r[1] for r in chunk], width, seed, replicas)
+            fp = fingerprints_of([shingle_digests(r[1], width, seed) for r in chunk], replicas)
             columns = [pa.array([r[0] for r in chunk], pa.int64()), pa.array(fp[:, 0], pa.int64()), pa.array(list(fp[:, 1:]), others), pa.array([r[2] for r in chunk], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "others", "text_hash"])
 

@@ -2,9 +2,15 @@
 
 Two texts are linked if their sets of five-word shingles (XXH64 digests, lower
 case) have a similarity of at least 0.8. Every link is checked on the whole
-sets. Candidates are texts that share the least shingle under each of ``ROWS``
-orders, in one of ``BANDS`` such tables: a pair at similarity s meets with
-1 - (1 - s^5)^32, which is 1 - 3e-6 at 0.8.
+sets.
+
+The first candidates are those of covering SimHash: texts whose fingerprints (of
+the same shingles) differ in at most ``RADIUS`` bits, as ``simhash.links`` finds
+them in its tables of covering masks, all of them. Two texts at 0.8 differ in
+about 10 of 64 bits, so similar texts with farther fingerprints are found by
+MinHash: of the texts that are not in one component yet, candidates share the
+least shingle under each of ``ROWS`` orders, in one of ``BANDS`` such tables: a
+pair at similarity s meets with 1 - (1 - s^5)^32, which is 1 - 3e-6 at 0.8.
 
 Equal texts are one class from the start. In each table the members of a key
 are compared with the least of them. Of keys whose members aren't all in one
@@ -38,12 +44,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .components import connected_components
 from .shared import materialize
-from .simhash import keep_one, shingle_digests
 from .tokens import chunks, rows_of
 
-WIDTH, SEED = 5, 42
+WIDTH, SEED, RADIUS = 5, 42, 2
 BANDS, ROWS, ALL_PAIRS = 32, 5, 16
 #: Cells in which shingles are counted, and rows of a shingle that one task joins.
 CELLS, JOINED = 1 << 20, 2048
@@ -54,9 +60,13 @@ _ORDERS = np.random.default_rng(5).integers(1, 1 << 63, (BANDS, ROWS), dtype=np.
 _NO_ID = -(2**63)
 
 
+def _distinct(digests: bytes) -> np.ndarray:
+    return np.unique(np.frombuffer(digests or bytes(8), ">u8").astype("<u8"))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingles of a text as sorted hashes; a text without words has one of its own kind."""
-    return np.unique(np.frombuffer(shingle_digests(text, WIDTH, SEED) or bytes(8), ">u8").astype("<u8"))
+    return _distinct(simhash.shingle_digests(text, WIDTH, SEED))
 
 
 def _keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -74,15 +84,17 @@ def _keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, the number of shingles and the keys of each row."""
+    """doc_id, text_hash, the number of shingles, the fingerprint and the keys of each row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(rows_of(batches), 1):
-            sets = [shingles(r[1]) for r in chunk]
-            columns = [pa.array([r[0] for r in chunk], pa.int64()), pa.array([r[2] for r in chunk], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(list(_keys(sets)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "keys"])
+            digests = [simhash.shingle_digests(r[1], WIDTH, SEED) for r in chunk]
+            sets = [_distinct(d) for d in digests]
+            columns = [pa.array([r[0] for r in chunk], pa.int64()), pa.array([r[2] for r in chunk], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+            columns += [pa.array(simhash.fingerprints_of(digests)[:, 0], pa.int64()), pa.array(list(_keys(sets)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "fp", "keys"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(task, "doc_id long, text_hash long, n int, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(task, "doc_id long, text_hash long, n int, fp long, keys array<long>")
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -117,6 +129,22 @@ def _texts(docs: DataFrame, first: DataFrame) -> DataFrame:
     return named.join(first, ["t", "first"], "left_semi").select("t", "text").dropDuplicates(["t"])
 
 
+def _covering_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that connect just those whose fingerprints differ in at most ``RADIUS`` bits."""
+    heads = materialize(classes.groupBy("fp").agg(F.min("t").alias("head")), "similar-heads")
+    same = classes.select("fp", "t").join(heads, "fp").where("t <> head").select("t", F.col("head").alias("b"))
+    near = simhash.links(heads.select("fp"), RADIUS).distinct()
+    near = near.join(heads, "fp").select("least", F.col("head").alias("t")).join(heads.select(F.col("fp").alias("least"), F.col("head").alias("b")), "least").select("t", "b")
+    return same.union(near).select(F.greatest("t", "b").alias("a"), F.least("t", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that aren't in one component yet."""
+    root = lambda c: parts.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    named = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return named.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+
+
 _SIZES = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})"
 
 
@@ -184,20 +212,25 @@ def _open_pairs(keys: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFram
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over links), root and text_hash for every row."""
     rows = materialize(_sketches(docs), "similar-rows")
-    classes = rows.groupBy(F.col("text_hash").alias("t")).agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("keys").alias("keys"))
+    classes = rows.groupBy(F.col("text_hash").alias("t")).agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
     classes = materialize(classes, "similar-classes")
+    covering = materialize(_covering_pairs(classes), "similar-covering")
     keys = classes.select("t", "n", F.explode("keys").alias("key"))
     met = keys.groupBy("key").agg(F.min(F.struct("t", "n")).alias("hub"), F.count("*").alias("many")).where("many > 1")
     met = materialize(met.select("key", F.col("hub.t").alias("b"), F.col("hub.n").alias("hub_n"), "many"), "similar-keys")
     met_keys = materialize(keys.join(met, "key").select("key", "t", "n", "b", "hub_n", "many"), "similar-met")
     pairs = materialize(met_keys.where("t <> b AND " + _SIZES.format("n", "hub_n")).select(F.col("t").alias("a"), "b").distinct(), "similar-pairs")
     keys = met_keys.where("many > 2").select("key", "t", "n")
-    candidates = met_keys.where("many > 2").select("t").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    tried = covering.union(pairs)
+    candidates = met_keys.where("many > 2").select("t").union(tried.select("a")).union(tried.select("b")).distinct()
     first = candidates.join(classes, "t").select("t", F.coalesce("first", F.lit(_NO_ID)).alias("first"))
     texts = materialize(_texts(docs, first), "similar-texts")
-    links = materialize(_checked(pairs, texts), "similar-links")
+    links = materialize(_checked(covering, texts), "similar-links")
+    parts = connected_components(links, "similar-components")
+    rest = materialize(_apart(pairs.join(covering, ["a", "b"], "left_anti"), parts), "similar-pairs")
+    links = links.union(materialize(_checked(rest, texts), "similar-links"))
     parts = connected_components(links, "similar-components")
-    more = materialize(_open_pairs(keys, parts, texts).join(pairs, ["a", "b"], "left_anti"), "similar-pairs")
+    more = materialize(_open_pairs(keys, parts, texts).join(tried, ["a", "b"], "left_anti"), "similar-pairs")
     links = links.union(materialize(_checked(more, texts), "similar-links"))
     parts = connected_components(links, "similar-components")
     named = classes.select("t", "first").join(parts, classes.t == parts.node, "left").select("t", "first", F.coalesce("root", "t").alias("root"))
@@ -209,4 +242,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the least doc_id, with all its columns."""
-    return keep_one(docs, near_duplicates(docs))
+    return simhash.keep_one(docs, near_duplicates(docs))
