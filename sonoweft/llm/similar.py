@@ -12,6 +12,12 @@ MinHash: of the texts that are not in one component yet, candidates share the
 least shingle under each of ``ROWS`` orders, in one of ``BANDS`` such tables: a
 pair at similarity s meets with 1 - (1 - s^5)^32, which is 1 - 3e-6 at 0.8.
 
+Before texts are compared, their parities are: a bit of ``PARITY`` is set where
+an odd number of a text's shingles fall. Each shingle that only one of two texts
+has changes one bit, so they differ in at least as many shingles as bits; and
+texts at 0.8 differ in at most a ninth of all their shingles. So no similar pair
+is dropped, and few others are left.
+
 Equal texts are one class from the start. In each table the members of a key
 are compared with the least of them. Of keys whose members aren't all in one
 component after that, all pairs of different components are compared where a key
@@ -23,8 +29,8 @@ join instead, which finds every similar pair among them:
 - where the first common shingle of two texts has i shingles before it in one and
   j in the other, they have at most min(n - i, m - j) in common, and a similarity
   of 0.8 needs 4/9 (n + m). So it is in the first ninth of the smaller text and
-  in the first fifth of the larger, and only such pairs that meet this bound are
-  compared;
+  in the first fifth of the larger, and only such pairs that meet this bound and
+  are allowed by their parities are compared;
 - a shingle whose texts are all in one component joins nothing, and a frequent
   one is dealt over several tasks.
 
@@ -51,6 +57,9 @@ from .tokens import chunks, rows_of
 
 WIDTH, SEED, RADIUS = 5, 42, 2
 BANDS, ROWS, ALL_PAIRS = 32, 5, 16
+#: Bits of the parities of a text, kept in so many longs.
+PARITY = 512
+_WORDS = [f"p{i}" for i in range(PARITY // 64)]
 #: Cells in which shingles are counted, and rows of a shingle that one task joins.
 CELLS, JOINED = 1 << 20, 2048
 #: Shingles that a task keeps between pairs.
@@ -83,8 +92,16 @@ def _keys(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """The parities of each set: in each bit whether an odd number of its hashes fall there."""
+    cell = np.concatenate(sets) >> np.uint64(64 - PARITY.bit_length() + 1)
+    of = np.repeat(np.arange(len(sets)) * PARITY, [len(s) for s in sets])
+    odd = np.bincount(of + cell.astype(np.int64), minlength=len(sets) * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(len(sets), -1)
+
+
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, the number of shingles, the fingerprint and the keys of each row."""
+    """doc_id, text_hash, the number of shingles, the fingerprint, the keys and the parities of each row."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(rows_of(batches), 1):
@@ -92,9 +109,11 @@ def _sketches(docs: DataFrame) -> DataFrame:
             sets = [_distinct(d) for d in digests]
             columns = [pa.array([r[0] for r in chunk], pa.int64()), pa.array([r[2] for r in chunk], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
             columns += [pa.array(simhash.fingerprints_of(digests)[:, 0], pa.int64()), pa.array(list(_keys(sets)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "fp", "keys"])
+            columns += [pa.array(c, pa.int64()) for c in _parities(sets).T.copy()]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "fp", "keys", *_WORDS])
 
-    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(task, "doc_id long, text_hash long, n int, fp long, keys array<long>")
+    kinds = ", ".join(f"{c} long" for c in _WORDS)
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(task, f"doc_id long, text_hash long, n int, fp long, keys array<long>, {kinds}")
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -102,8 +121,13 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+def _parities_allow(n: str, n2: str, second: str) -> str:
+    """Whether texts of n and n2 shingles can be similar by their parities (the columns ``_WORDS``, and those with ``second`` at the end)."""
+    return f"9L * ({' + '.join(f'bit_count({c} ^ {c}{second})' for c in _WORDS)}) <= {n} + {n2}"
+
+
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose texts are similar."""
+    """The pairs (a, b) of classes whose texts are similar: those that parities allow are compared."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -119,14 +143,17 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 held.clear()
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+    sketch = lambda c, end: texts.select(F.col("t").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(p).alias(p + end) for p in _WORDS])
+    pairs = pairs.join(sketch("a", ""), "a").join(sketch("b", "_b"), "b").where(_parities_allow("n_a", "n_b", "_b")).select("a", "b")
+    pairs = materialize(pairs, "similar-allowed")
     of = lambda c: texts.select(F.col("t").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(task, "a long, b long")
 
 
 def _texts(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(t, text) of the classes in ``first`` (t, first): from one row of each."""
+    """t, text, n and parities of the classes in ``first`` (t, first and these): the text is from one row of each."""
     named = docs.select(F.xxhash64("text").alias("t"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("first"), "text")
-    return named.join(first, ["t", "first"], "left_semi").select("t", "text").dropDuplicates(["t"])
+    return named.join(first, ["t", "first"]).select("t", "text", "n", *_WORDS).dropDuplicates(["t"])
 
 
 def _covering_pairs(classes: DataFrame) -> DataFrame:
@@ -187,10 +214,11 @@ def _prefix_pairs(texts: DataFrame, parts: DataFrame) -> DataFrame:
     rows = _prefixes(texts).join(parts, F.col("t") == F.col("node"), "left").select("shingle", "t", "n", "place", F.coalesce("root", "t").alias("root"))
     rows = materialize(rows, "similar-prefixes")
     state = rows.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low <> high")
-    rows = materialize(rows.join(state.select("shingle", F.expr(f"1 + many div {JOINED}").alias("lots")), "shingle"), "similar-open")
+    rows = rows.join(state.select("shingle", F.expr(f"1 + many div {JOINED}").alias("lots")), "shingle").join(texts.select("t", *_WORDS), "t")
+    rows = materialize(rows, "similar-open")
     small = rows.where("9L * place <= n").withColumn("lot", F.pmod(F.xxhash64("t"), F.col("lots")))
-    large = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).select("shingle", "lot", F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("root").alias("root2"))
-    met = small.join(large, ["shingle", "lot"]).where("root <> root2 AND (n < n2 OR (n = n2 AND t < t2)) AND 9L * least(n - place, n2 - place2) >= 4L * (n + n2)")
+    large = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).select("shingle", "lot", F.col("t").alias("t2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("root").alias("root2"), *[F.col(p).alias(p + "_2") for p in _WORDS])
+    met = small.join(large, ["shingle", "lot"]).where("root <> root2 AND (n < n2 OR (n = n2 AND t < t2)) AND 9L * least(n - place, n2 - place2) >= 4L * (n + n2) AND " + _parities_allow("n", "n2", "_2"))
     return met.select(F.greatest("t", "t2").alias("a"), F.least("t", "t2").alias("b")).distinct()
 
 
@@ -212,7 +240,7 @@ def _open_pairs(keys: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFram
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable over links), root and text_hash for every row."""
     rows = materialize(_sketches(docs), "similar-rows")
-    classes = rows.groupBy(F.col("text_hash").alias("t")).agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+    classes = rows.groupBy(F.col("text_hash").alias("t")).agg(F.min("doc_id").alias("first"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("keys").alias("keys"), *[F.min(p).alias(p) for p in _WORDS])
     classes = materialize(classes, "similar-classes")
     covering = materialize(_covering_pairs(classes), "similar-covering")
     keys = classes.select("t", "n", F.explode("keys").alias("key"))
@@ -223,7 +251,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = met_keys.where("many > 2").select("key", "t", "n")
     tried = covering.union(pairs)
     candidates = met_keys.where("many > 2").select("t").union(tried.select("a")).union(tried.select("b")).distinct()
-    first = candidates.join(classes, "t").select("t", F.coalesce("first", F.lit(_NO_ID)).alias("first"))
+    first = candidates.join(classes, "t").select("t", F.coalesce("first", F.lit(_NO_ID)).alias("first"), "n", *_WORDS)
     texts = materialize(_texts(docs, first), "similar-texts")
     links = materialize(_checked(covering, texts), "similar-links")
     parts = connected_components(links, "similar-components")
