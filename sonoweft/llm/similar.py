@@ -8,9 +8,9 @@ The first candidates are those of covering SimHash: texts whose fingerprints (of
 the same shingles) differ in at most ``RADIUS`` bits, as ``simhash.links`` finds
 them in its tables of covering masks, all of them. Two texts at 0.8 differ in
 about 10 of 64 bits, so similar texts with farther fingerprints are found by
-MinHash: of the texts that are not in one component yet, candidates share the
-least shingle under each of ``ROWS`` orders, in one of ``BANDS`` such tables: a
-pair at similarity s meets with 1 - (1 - s^5)^32, which is 1 - 3e-6 at 0.8.
+MinHash: further candidates share the least shingle under each of ``ROWS``
+orders, in one of ``BANDS`` such tables: a pair at similarity s meets with
+1 - (1 - s^5)^32, which is 1 - 3e-6 at 0.8.
 
 Before texts are compared, their parities are: a bit of ``PARITY`` is set where
 an odd number of a text's shingles fall. Each shingle that only one of two texts
@@ -165,13 +165,6 @@ def _covering_pairs(classes: DataFrame) -> DataFrame:
     return same.union(near).select(F.greatest("t", "b").alias("a"), F.least("t", "b").alias("b")).distinct()
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that aren't in one component yet."""
-    root = lambda c: parts.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    named = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    return named.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-
-
 _SIZES = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})"
 
 
@@ -249,14 +242,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met_keys = materialize(keys.join(met, "key").select("key", "t", "n", "b", "hub_n", "many"), "similar-met")
     pairs = materialize(met_keys.where("t <> b AND " + _SIZES.format("n", "hub_n")).select(F.col("t").alias("a"), "b").distinct(), "similar-pairs")
     keys = met_keys.where("many > 2").select("key", "t", "n")
-    tried = covering.union(pairs)
+    tried = covering.union(pairs.join(covering, ["a", "b"], "left_anti"))
     candidates = met_keys.where("many > 2").select("t").union(tried.select("a")).union(tried.select("b")).distinct()
     first = candidates.join(classes, "t").select("t", F.coalesce("first", F.lit(_NO_ID)).alias("first"), "n", *_WORDS)
     texts = materialize(_texts(docs, first), "similar-texts")
-    links = materialize(_checked(covering, texts), "similar-links")
-    parts = connected_components(links, "similar-components")
-    rest = materialize(_apart(pairs.join(covering, ["a", "b"], "left_anti"), parts), "similar-pairs")
-    links = links.union(materialize(_checked(rest, texts), "similar-links"))
+    links = materialize(_checked(tried, texts), "similar-links")
     parts = connected_components(links, "similar-components")
     more = materialize(_open_pairs(keys, parts, texts).join(tried, ["a", "b"], "left_anti"), "similar-pairs")
     links = links.union(materialize(_checked(more, texts), "similar-links"))
