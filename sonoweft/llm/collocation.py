@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import grown, materialize, new_path
 from .tokens import chunks, rows_of
 
 LIMIT, LEAST, SCALE = 2000, 30, 2_000_000
@@ -320,11 +320,12 @@ def collocations(docs: DataFrame, limit: int = LIMIT, least: int = LEAST, batch:
     pairs = materialize(_pair_nodes(pairs, words), "phrase-pair-nodes")
     stretches = materialize(_stretches(texts, _filter_of(pairs, ["a", "b"])), "phrase-stretches")
     nothing = docs.sparkSession.createDataFrame([], _COUNTS)
-    threes, fours, done = [_triple_nodes(nothing, pairs)], [nothing], [nothing.select("a", "b", "c")]
+    folders = [new_path(docs.sparkSession, f"phrase-{k}") for k in ("triples", "quads-counted", "done")]
+    first = [_triple_nodes(nothing, pairs), nothing, nothing.select("a", "b", "c")]
+    triples, quads_counted, done = map(grown, first, folders)
     want = 2 * limit
     while True:
-        triples, quads_counted = _all(threes), _all(fours)
-        nodes = _all([pairs.select(*_NODE), triples.select(*_NODE)]).join(_all(done).withColumn("seen", F.lit(True)), ["a", "b", "c"], "left").withColumn("expanded", F.col("seen").isNotNull())
+        nodes = _all([pairs.select(*_NODE), triples.select(*_NODE)]).join(done.withColumn("seen", F.lit(True)), ["a", "b", "c"], "left").withColumn("expanded", F.col("seen").isNotNull())
         quads = materialize(_quads(quads_counted, triples), "phrase-quads")
         best = materialize(_survivors(nodes, quads, triples, quads_counted), "phrase-survivors")
         order = [F.col("score").desc()]
@@ -342,9 +343,8 @@ def collocations(docs: DataFrame, limit: int = LIMIT, least: int = LEAST, batch:
         send = np.sort(_folded([a[c == 0], b[c == 0]])), np.sort(_folded([a[c != 0], b[c != 0], c[c != 0]]))
         known = triples.select(*_KEY).union(quads_counted.select(*_KEY))
         new = materialize(_extension_counts(stretches, *send, least).join(known, _KEY, "left_anti"), "phrase-new")
-        threes.append(materialize(_triple_nodes(new.where("d = 0"), pairs), "phrase-triples"))
-        fours.append(new.where("d <> 0"))
-        done.append(chosen)
+        more = [_triple_nodes(new.where("d = 0"), pairs), new.where("d <> 0"), chosen]
+        triples, quads_counted, done = map(grown, more, folders)
         want *= 4
 
 
