@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 
 from . import shared, tokens
 
+#: Units of a generation of a worker's cache, and bytes of text that it encodes at once: a packing may follow
+#: stages whose memory the executor still holds. Neither changes a result.
+GENERATION, SLICE = 250_000, 1 << 21
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -40,8 +43,8 @@ def cut(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 0, ca
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, step = tokens.encoder(tokenizer, kind), struct.pack("<I", end_id), 4 * capacity
-        for some in tokens.slices(batches, 1):
+        encoder, end, step = tokens.encoder(tokenizer, kind, GENERATION), struct.pack("<I", end_id), 4 * capacity
+        for some in tokens.slices(batches, 1, SLICE):
             out: list[tuple] = []
             flat, starts = encoder.encode(some.column(1))
             for k, doc_id in enumerate(some.column(0).to_pylist()):
