@@ -161,7 +161,7 @@ class Pieces:
 
 
 #: Utterances that are searched together, and the states times frames that these may have (one utterance may have more).
-TOGETHER, CELLS = 512, 1 << 24
+TOGETHER, CELLS = 128, 1 << 24
 Path = tuple[int, float, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -186,8 +186,8 @@ def _together(made: list[tuple[int, list[tuple[int, Piece]]]], sizes: list[int],
     parts = [(w, p) for _, own in made for w, p in own]
     base = np.concatenate([[0], np.cumsum([len(p.pdf) for _, p in parts])])
     join = lambda arrays, counts, add: np.concatenate(arrays) + np.repeat(add, counts)
-    many = [len(p.arcs[0]) for _, p in parts]
-    src, dst = (join([p.arcs[k] for _, p in parts], many, base[:-1]) for k in (0, 1))
+    arcs = [len(p.arcs[0]) for _, p in parts]
+    src, dst = (join([p.arcs[k] for _, p in parts], arcs, base[:-1]) for k in (0, 1))
     weight, pdf = np.concatenate([p.arcs[2] for _, p in parts]), np.concatenate([p.pdf for _, p in parts])
     states, lengths = int(base[-1]), np.array(list(map(len, frames)))
     ends = np.cumsum(sizes)
@@ -207,16 +207,21 @@ def _together(made: list[tuple[int, list[tuple[int, Piece]]]], sizes: list[int],
     now += scores[emit]
     alive = np.searchsorted(-lengths, -np.arange(lengths[0]))  # utterances with a frame of that number
     back = np.zeros((lengths[0], states), np.uint8 if len(come) < 256 else np.int32)
+    many, narrow = len(come), back.dtype
     for t in range(1, lengths[0]):
         m = ends[alive[t] - 1]
-        held = now[:m]
-        least = held[come[0, :m]] + cost[0, :m]
-        for k in range(1, len(come)):
-            reach = held[come[k, :m]] + cost[k, :m]
-            less = reach < least
-            least[less] = reach[less]
-            back[t, :m][less] = k
-        now[:m] = least + scores[emit[:m] + t * width]
+        held, places, which = now[:m], emit[:m], back[t, :m]
+        least = held.take(come[0, :m])
+        least += cost[0, :m]
+        for k in range(1, many):
+            reach = held.take(come[k, :m])
+            reach += cost[k, :m]
+            less = (reach < least).view(np.uint8)  # a later arc must be less
+            np.maximum(which, less if k == 1 else less * narrow.type(k), out=which)
+            np.minimum(least, reach, out=least)
+        places += width
+        least += scores.take(places)
+        now[:m] = least
     last, total = np.zeros(len(made), np.int64), np.full(len(made), np.inf)
     k = 0
     for u, (_, own) in enumerate(made):
